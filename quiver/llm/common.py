@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: Rows in an Arrow batch, so that a batch of long documents stays in a worker's memory.
 ARROW_ROWS = 1024
+ARROW_BYTES = 16 << 20
 
 #: Characters that count as symbols, as bytes.
 SYMBOLS = b"#*$%&|<>"
@@ -59,9 +60,17 @@ def _remove_all() -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: cuts lineage and outlives executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    # once the table is written, the shuffle files that led to it are of no use
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -69,6 +78,7 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import byte_bpe, packing, quality_fm, quality_rules, token_counts
+from quiver.llm import byte_bpe, line_dedup, near_dup, packing, quality_fm, quality_rules, token_counts
 from quiver.llm.common import table
 
 
@@ -30,6 +30,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed and the text that is left."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.ForestParams(words=2))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -41,7 +50,15 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality_classifier, op3_quality_rules, op4_token_counts, op8_bpe_round_trip, op9_best_fit_packing)
+        for f in (
+            op1_quality_classifier,
+            op3_quality_rules,
+            op4_token_counts,
+            op5_line_dedup,
+            op7_near_duplicates,
+            op8_bpe_round_trip,
+            op9_best_fit_packing,
+        )
     }
 
 
