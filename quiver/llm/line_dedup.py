@@ -81,13 +81,13 @@ def _fingerprints(lines: list[str]) -> np.ndarray:
 
 
 def line_table(documents: DataFrame, params: LineParams) -> DataFrame:
-    """Every line that has a word: doc_id, line, fingerprint f1, f2, its number of shingles and MinHash values.
+    """Every line that has a word: doc_id, line, fingerprint f1, f2 and MinHash values.
 
     Within a batch only the first of equal lines carries the values.
     """
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("line", T.IntegerType())]
-        + [T.StructField(x, T.LongType()) for x in ("f1", "f2", "size")]
+        + [T.StructField(x, T.LongType()) for x in ("f1", "f2")]
         + [T.StructField("values", T.BinaryType())]
     )
 
@@ -99,7 +99,6 @@ def line_table(documents: DataFrame, params: LineParams) -> DataFrame:
                 number.append(k)
                 texts.append(line)
         prints = _fingerprints(texts)
-        size = np.maximum(1, np.fromiter(map(len, texts), np.int64, len(texts)) - params.shingle + 1)
         first = {x: i for i, x in reversed(list(enumerate(texts))) if len(x) >= params.shingle}
         values: list[bytes | None] = [None] * len(texts)
         if first:
@@ -107,7 +106,7 @@ def line_table(documents: DataFrame, params: LineParams) -> DataFrame:
                 values[i] = v.tobytes()
         columns = [
             batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(number, pa.int32()),
-            pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(size), pa.array(values, pa.binary()),
+            pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(values, pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -115,8 +114,8 @@ def line_table(documents: DataFrame, params: LineParams) -> DataFrame:
 
 
 def _band_rows(distinct: DataFrame, params: LineParams) -> DataFrame:
-    """A row for each distinct line and band: the band's hash, the next band's first values, id and size."""
-    names = ["k1", "k2", "id", "size"]
+    """A row for each distinct line and band: the band's hash, the next band's first values, and id."""
+    names = ["k1", "k2", "id"]
     schema = T.StructType([T.StructField(x, T.LongType()) for x in names])
     bands, per = params.bands, params.values
 
@@ -131,10 +130,10 @@ def _band_rows(distinct: DataFrame, params: LineParams) -> DataFrame:
         after = np.roll(values, -per, axis=1)
         then = after[:, ::per] << np.uint64(32) | after[:, min(1, per - 1) :: per]
         columns = [key.view(np.int64).ravel(), then.view(np.int64).ravel()]
-        columns += [np.repeat(batch.column(x).to_numpy(), bands) for x in ("id", "size")]
+        columns.append(np.repeat(batch.column("id").to_numpy(), bands))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return map_batches(distinct.select("id", "size", "values"), run, schema)
+    return map_batches(distinct.select("id", "values"), run, schema)
 
 
 def _alike(params: LineParams):  # noqa: ANN202
@@ -154,12 +153,12 @@ def line_components(documents: DataFrame, params: LineParams = LineParams()) ->
     lines = written(line_table(documents, params), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line")
     distinct = lines.groupBy("f1", "f2").agg(
-        F.min(place).alias("place"), F.max("values").alias("values"), F.max("size").alias("size"), F.count("*").alias("n")
+        F.min(place).alias("place"), F.max("values").alias("values"), F.count("*").alias("n")
     )
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
     with_values = distinct.filter(F.col("values").isNotNull())
     # a whole band in common: both units of its hash
-    near = NeighbourParams(depth=2, percent=params.percent)
+    near = NeighbourParams(depth=2)
     rows = _band_rows(with_values, params)
     pairs = written(neighbour_pairs(rows, lines.count() * params.bands, ["k1", "k2"], near), "line-pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()

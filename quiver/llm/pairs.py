@@ -28,7 +28,7 @@ class NeighbourParams:
     depth: int  # leading 32-bit units that two rows must share at least
     width: int = 8  # how many following rows a row meets; regions up to this size are met whole
     always: int = 2  # of those, how many need no more than the least depth in a crowded region
-    percent: int = 80  # least similarity, which bounds the ratio of two sizes
+    percent: int | None = None  # least similarity, which bounds the ratio of two sets' sizes, if rows have them
     most_unlike: int | None = None  # bits of the sketches that may differ
     rows_per_partition: int = 200_000
 
@@ -40,12 +40,13 @@ def pair_schema() -> T.StructType:
 def neighbour_pairs(rows: DataFrame, n_rows: int, keys: list[str], params: NeighbourParams) -> DataFrame:
     """Candidate pairs (a < b, votes): rows near each other in the order of ``keys`` (longs of two 32-bit units each).
 
-    ``rows`` has the keys, id, size and, with ``most_unlike``, the sketch s1, s2. A row meets the rows that follow it
+    ``rows`` has the keys, id, with ``percent`` the set's size, with ``most_unlike`` the sketch s1, s2. A row meets the rows that follow it
     while they share at least ``depth`` units; where more than ``width`` rows do, the depth asked for grows to one at
     which fewer than ``width`` remain, so crowded regions are cut finer than thin ones. votes: in how many orders a
     pair met. Ranges of the sort are tasks; pairs across the border of two ranges meet in the other orders.
     """
     sketch = ["s1", "s2"] if params.most_unlike is not None else []
+    longs_of = ["id", "size"] if params.percent is not None else ["id"]
     n = partitions_for(rows.sparkSession, n_rows, params.rows_per_partition)
     ordered = rows.repartitionByRange(n, *keys, "id").sortWithinPartitions(*keys, "id")
     width = params.width
@@ -63,8 +64,10 @@ def neighbour_pairs(rows: DataFrame, n_rows: int, keys: list[str], params: Neigh
         left, right = [], []
         for j in range(1, width + 1):
             i = np.flatnonzero(shared[j] >= (params.depth if j <= params.always else asked))
-            x, y = c["size"][i], c["size"][i + j]
-            fine = (100 * np.minimum(x, y) >= params.percent * np.maximum(x, y)) & (c["id"][i] != c["id"][i + j])
+            fine = c["id"][i] != c["id"][i + j]
+            if params.percent is not None:
+                x, y = c["size"][i], c["size"][i + j]
+                fine &= 100 * np.minimum(x, y) >= params.percent * np.maximum(x, y)
             if sketch:
                 unlike = sum(np.bitwise_count(c[s][i] ^ c[s][i + j]).astype(np.int64) for s in sketch)
                 fine &= unlike <= params.most_unlike
@@ -78,7 +81,7 @@ def neighbour_pairs(rows: DataFrame, n_rows: int, keys: list[str], params: Neigh
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {x: batch.column(x).to_numpy() for x in ["id", "size"]}
+            new = {x: batch.column(x).to_numpy() for x in longs_of}
             new |= {x: batch.column(x).to_numpy().view(np.uint64) for x in sketch}
             longs = np.stack([batch.column(x).to_numpy().view(np.uint64) for x in keys], 1)
             units = np.stack([longs >> np.uint64(32), longs & np.uint64(0xFFFFFFFF)], 2).astype(np.uint32)
@@ -91,7 +94,7 @@ def neighbour_pairs(rows: DataFrame, n_rows: int, keys: list[str], params: Neigh
         if kept:
             yield emit(kept, len(kept["id"]))
 
-    pairs = ordered.select(*keys, "id", "size", *sketch).mapInArrow(run, pair_schema())
+    pairs = ordered.select(*keys, *longs_of, *sketch).mapInArrow(run, pair_schema())
     return pairs.groupBy("a", "b").agg(F.count("*").alias("votes"))
 
 
