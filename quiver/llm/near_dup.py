@@ -175,7 +175,7 @@ def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams())
     # only sets with copies or links need a look-up; other documents are their own components
     groups = found.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     groups = groups.join(joined, "node", "left").filter((F.col("n") > 1) | F.col("root").isNotNull())
-    groups = groups.select("f1", "f2", F.coalesce("root", "node").alias("component"))
+    groups = written(groups.select("f1", "f2", F.coalesce("root", "node").alias("component")), "groups")
     sets = signed.select("doc_id", "size", "f1", "f2").join(groups, ["f1", "f2"], "left")
     own = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
     component = F.coalesce(own, F.col("doc_id"))
