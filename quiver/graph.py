@@ -58,7 +58,8 @@ class PropertyGraph:
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> PropertyGraph:
         return cls(
-            with_defaults(spark.read.parquet(f"{path}/nodes"), NODES), with_defaults(spark.read.parquet(f"{path}/edges"), EDGES)
+            with_defaults(spark.read.schema(NODES).parquet(f"{path}/nodes"), NODES),
+            with_defaults(spark.read.schema(EDGES).parquet(f"{path}/edges"), EDGES),
         )
 
     def write(self, path: str, mode: str = "overwrite") -> None:

@@ -19,9 +19,17 @@ KEPT_DOT_FILES = (".gitignore", ".dockerignore", ".env.example", ".golangci.yml"
 
 
 def listed_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (absolute, clean), length of every file below a folder of any store; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length")
+    """path (absolute, clean), length of every file below a folder of any store, dot files included; nothing is read.
+
+    The driver lists the folders, as a reader of files does when it plans a scan.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+    rows = []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toUri().getPath(), f.getLen()))
+    return spark.createDataFrame(rows, "path string, length long")
 
 
 def walked(files: DataFrame, root: str) -> DataFrame:

@@ -69,7 +69,7 @@ def bounded_source(node: dict, max_lines: int, max_bytes: int) -> tuple[str, boo
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file_path, line_no (from 1), text of text files in any store that Spark reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    text = F.split(F.decode("content", F.lit("UTF-8")), "\r?\n")
+    text = F.split(F.decode("content", "UTF-8"), "\r?\n")
     rows = files.select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), F.posexplode(text).alias("at", "text"))
     return rows.select("file_path", (F.col("at") + 1).alias("line_no"), "text")
 
