@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quiver.llm.common import map_batches, texts_of
+from quiver.llm.common import map_batches, sorted_distinct, texts_of
 
 # The word pattern of byte-level BPE with this kind of file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -228,7 +228,7 @@ class ByteBpe:
         same = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, inverse = np.unique(tokens[same] * self.size + tokens[same + 1], return_inverse=True)
         fine = self.compatible(pairs // self.size, pairs % self.size)[inverse]
-        bad = np.unique(owner[same[~fine]])
+        bad = sorted_distinct(owner[same[~fine]])
         self.proposed, self.failed = self.proposed + len(words), self.failed + len(bad)
         if len(bad):
             good = np.ones(len(words), bool)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from quiver.llm.common import map_batches, texts_of, written
+from quiver.llm.common import held, map_batches, release, sorted_distinct, texts_of, written
 from quiver.llm.pairs import NeighbourParams, bloom, linked_components, maybe_in, neighbour_pairs, sketch_limit
 
 UNITS = 6  # signature values in a tree's key
@@ -67,7 +67,7 @@ class Shingler:
             mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + m]
             mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(mixed ^ (mixed >> np.uint64(32)))
+        return sorted_distinct(mixed ^ (mixed >> np.uint64(32)))
 
 
 def signature(hashes: np.ndarray, params: ForestParams) -> np.ndarray:
@@ -138,7 +138,8 @@ def _alike(percent: int):  # noqa: ANN202
         out = np.zeros(len(xs), bool)
         for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
             a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
+            together = np.sort(np.concatenate([a, b]))
+            both = int((together[1:] == together[:-1]).sum())
             out[i] = 100 * both >= percent * (len(a) + len(b) - both)
         return out
 
@@ -158,7 +159,8 @@ def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams())
         depth=params.depth, percent=params.percent, most_unlike=sketch_limit(SKETCH_BITS, params.percent)
     )
     rows = _tree_rows(distinct, params)
-    pairs = written(neighbour_pairs(rows, signed.count() * params.trees, ["k1", "k2", "k3"], near), "pairs")
+    kept: list[DataFrame] = []
+    pairs = held(neighbour_pairs(rows, signed.count() * params.trees, ["k1", "k2", "k3"], near), kept)
     ends = pairs.select("a").union(pairs.select("b")).distinct()
     wanted = bloom(ends.select(F.xxhash64("a").alias("h")), "h")  # of bounded size
 
@@ -172,6 +174,7 @@ def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams())
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("item", T.BinaryType())])
     items = written(map_batches(texts.withColumn("h", F.xxhash64("id")), full_sets, schema), "sets")
     joined = linked_components(pairs, items, _alike(params.percent), "near")
+    release(kept)
     # only sets with copies or links need a look-up; other documents are their own components
     groups = found.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     groups = groups.join(joined, "node", "left").filter((F.col("n") > 1) | F.col("root").isNotNull())

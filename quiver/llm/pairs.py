@@ -15,11 +15,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiver.llm.common import partitions_for, written
+from quiver.llm.common import held, partitions_for, release, written
 
 #: Bits of a filter that a driver sends to all tasks: 2 MB whatever the input.
 BLOOM_BITS = 1 << 24
 
+#: Rows of a sorted order that a task looks at together.
+BLOCK_ROWS = 1 << 15
+
+#: Links that a task joins by itself.
+LINK_ROWS = 200_000
+
 
 @dataclass(frozen=True)
 class NeighbourParams:
@@ -54,16 +60,23 @@ def neighbour_pairs(rows: DataFrame, n_rows: int, keys: list[str], params: Neigh
     def emit(c: dict[str, np.ndarray], stop: int) -> pa.RecordBatch:
         """Pairs of each row before ``stop`` with those that follow it."""
         units, total = c["units"], len(c["id"])
-        shared = np.zeros((width + 1, stop), np.int8)
-        for j in range(1, width + 1):
-            m = min(stop, total - j)
-            if m > 0:
-                same = units[:m] == units[j : j + m]
-                shared[j, :m] = np.logical_and.accumulate(same, axis=1).sum(1)
-        asked = np.where(shared[width] >= params.depth, shared[width] + 1, params.depth)
+
+        def shared(i: np.ndarray, j: int) -> np.ndarray:
+            return np.logical_and.accumulate(units[i] == units[i + j], axis=1).sum(1)
+
+        # prefixes only get shorter further away: what doesn't share enough with the next row is done
+        near = np.arange(min(stop, total - 1))
+        near = near[(units[near, : params.depth] == units[near + 1, : params.depth]).all(1)]
+        last = near[near + width < total]
+        asked = np.full(stop, params.depth, np.int64)
+        deep = shared(last, width)
+        asked[last[deep >= params.depth]] = deep[deep >= params.depth] + 1
         left, right = [], []
         for j in range(1, width + 1):
-            i = np.flatnonzero(shared[j] >= (params.depth if j <= params.always else asked))
+            near = near[near + j < total]
+            depth = shared(near, j)
+            near, depth = near[depth >= params.depth], depth[depth >= params.depth]
+            i = near if j <= params.always else near[depth >= asked[near]]
             fine = c["id"][i] != c["id"][i + j]
             if params.percent is not None:
                 x, y = c["size"][i], c["size"][i + j]
@@ -76,14 +89,24 @@ def neighbour_pairs(rows: DataFrame, n_rows: int, keys: list[str], params: Neigh
         a, b = np.concatenate(left), np.concatenate(right)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The same rows in larger blocks."""
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK_ROWS:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = {x: batch.column(x).to_numpy() for x in longs_of}
-            new |= {x: batch.column(x).to_numpy().view(np.uint64) for x in sketch}
-            longs = np.stack([batch.column(x).to_numpy().view(np.uint64) for x in keys], 1)
+        for block in gathered(batches):
+            new = {x: block.column(x).to_numpy() for x in longs_of}
+            new |= {x: block.column(x).to_numpy().view(np.uint64) for x in sketch}
+            longs = np.stack([block.column(x).to_numpy().view(np.uint64) for x in keys], 1)
             units = np.stack([longs >> np.uint64(32), longs & np.uint64(0xFFFFFFFF)], 2).astype(np.uint32)
             new["units"] = units.reshape(len(longs), -1)
             kept = {x: np.concatenate([kept[x], new[x]]) for x in new} if kept else new
@@ -149,12 +172,14 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def components(links: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node that links join to a smaller id; root: the smallest id that it reaches.
 
-    Each partition first joins its own links. Then, round by round, every node hooks to its smallest neighbour,
+    Each partition of LINK_ROWS links first joins its own. Then, round by round, every node hooks to its smallest neighbour,
     chains of hooks are halved until all point at a root, and the links are drawn between roots. The links that are
     left fall at least by half each round; a round's tables are written, so lost executors cost one round at most.
     """
     schema = T.StructType([T.StructField(x, T.LongType()) for x in ("hi", "lo")])
-    left = written(links.select("a", "b").mapInArrow(_local_forest, schema).distinct(), f"{name}-links")
+    links = written(links.select("a", "b"), f"{name}-given")
+    dealt = links.coalesce(partitions_for(links.sparkSession, links.count(), LINK_ROWS))
+    left = written(dealt.mapInArrow(_local_forest, schema).distinct(), f"{name}-links")
     levels: list[DataFrame] = []
     while True:
         hooks = written(left.groupBy("hi").agg(F.min("lo").alias("up")), f"{name}-hooks")
@@ -217,12 +242,14 @@ def linked_components(pairs: DataFrame, items: DataFrame, alike: Alike, name: st
     # a node has a bounded number of pairs: width x 2 in each sorted order
     order = Window.partitionBy("node").orderBy(F.desc("votes"), F.xxhash64("a", "b"), "a", "b")
     top = both.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= first)
-    top = written(top.select("a", "b").distinct(), f"{name}-top")
-    found = components(written(confirm(top, items, alike), f"{name}-first"), name)
+    kept: list[DataFrame] = []
+    top = held(top.select("a", "b").distinct(), kept)
+    found = components(confirm(top, items, alike), name)
     at = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rest = pairs.join(top, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
     rest = rest.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     more = written(confirm(rest, items, alike), f"{name}-second")
+    release(kept)
     if more.isEmpty():
         return found
     joined = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
