@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +24,7 @@ ARROW_BYTES = 16 << 20
 SYMBOLS = b"#*$%&|<>"
 
 _made: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -90,8 +93,35 @@ def release(among: list[DataFrame]) -> None:
         among.pop().unpersist()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to executors whose Python doesn't find it; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = __name__.partition(".")[0]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import importlib.util
+
+        import pyarrow
+
+        for batch in batches:
+            found = importlib.util.find_spec(package) is not None
+            yield pyarrow.RecordBatch.from_pydict({"found": [found] * batch.num_rows})
+
+    n = max(1, spark.sparkContext.defaultParallelism)
+    if not spark.range(0, n, 1, n).mapInArrow(probe, "found boolean").filter("not found").isEmpty():
+        import quiver
+
+        top = os.path.dirname(os.path.dirname(os.path.abspath(quiver.__file__)))
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quiver-"), package), "zip", top, package)
+        spark.sparkContext.addPyFile(made)
+
+
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Make Arrow batches small enough for whole documents, unless the session already has smaller ones."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
