@@ -100,10 +100,14 @@ class PropertyGraph:
     def require(self, *ids: str) -> None:
         if not ids:
             return
-        found = {r.id for r in self.nodes.filter(F.col("id").isin(*ids)).select("id").collect()}
-        for x in ids:
-            if x not in found:
-                raise NotFound(f"node {x!r} isn't in the graph")
+        if len(ids) <= 100:
+            found = {r.id for r in self.nodes.filter(F.col("id").isin(*ids)).select("id").collect()}
+            lost = [x for x in ids if x not in found]
+        else:
+            asked = self.nodes.sparkSession.createDataFrame([(x,) for x in ids], "id string")
+            lost = [r.id for r in asked.join(self.nodes.select("id"), "id", "left_anti").limit(1).collect()]
+        if lost:
+            raise NotFound(f"node {lost[0]!r} isn't in the graph")
 
     # -- maintenance
 
