@@ -41,8 +41,11 @@ def preference_segments(turns: DataFrame) -> DataFrame:
     text (rendered), trained (1 if the loss counts), cut_turn (first turn of the completions, null if there are none).
     """
     said = turns.groupBy("pair_id", "side", "conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("said"))
-    by_turn = said.groupBy("pair_id", "turn").agg(
-        F.count("*").alias("n"), F.min("said").alias("low"), F.max("said").alias("high")
+    # what both sides say is compared by its digest, so that texts needn't meet
+    role, text = F.col("said.role"), F.col("said.text")
+    digest = F.sha2(F.concat(F.length(role), F.lit(":"), role, text), 256)
+    by_turn = said.select("pair_id", "turn", digest.alias("digest")).groupBy("pair_id", "turn").agg(
+        F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")
     )
     differs = (F.col("n") < 2) | (F.col("low") != F.col("high"))
     cuts = by_turn.groupBy("pair_id").agg(F.min(F.when(differs, F.col("turn"))).alias("cut_turn"))
@@ -51,7 +54,6 @@ def preference_segments(turns: DataFrame) -> DataFrame:
     placed = placed.filter(~common | (F.col("side") == CHOSEN)).withColumn(
         "part", F.when(common, "prompt").when(F.col("side") == CHOSEN, "chosen").otherwise("rejected")
     )
-    role, text = F.col("said.role"), F.col("said.text")
     learnt = ((F.col("part") != "prompt") & (role == "assistant")).cast("int")
     header = F.struct(F.lit(0).alias("piece"), F.concat(F.lit(OPEN), role, F.lit("\n")).alias("text"), F.lit(0).alias("trained"))
     body = F.struct(F.lit(1).alias("piece"), F.concat(text, F.lit(CLOSE + "\n")).alias("text"), learnt.alias("trained"))
