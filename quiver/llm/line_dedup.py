@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
 from quiver.llm.common import map_batches, sorted_distinct, texts_of, written
-from quiver.llm.pairs import NeighbourParams, bloom, linked_components, maybe_in, neighbour_pairs
+from quiver.llm.pairs import NeighbourParams, bloom, candidate_pairs, linked_components, maybe_in, neighbour_rows
 
 
 @dataclass(frozen=True)
@@ -200,7 +200,8 @@ def line_components(documents: DataFrame, params: LineParams = LineParams()) ->
     # a whole band in common: both units of its hash
     near = NeighbourParams(depth=2)
     rows = _band_rows(with_values, params)
-    pairs = written(neighbour_pairs(rows, distinct.count() * params.bands, ["k1", "k2"], near), "line-pairs")
+    met = neighbour_rows(rows, distinct.count() * params.bands, ["k1", "k2"], near)
+    pairs = written(candidate_pairs(met), "line-pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     needed = written(distinct.select("id", "f1", "f2").join(ends, "id"), "needed-lines")
     wanted = bloom(needed, "f1")  # of bounded size

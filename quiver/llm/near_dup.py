@@ -3,7 +3,8 @@
 Each distinct set of shingles has a MinHash signature. The forest's trees are sorted orders of different parts of
 the signature; candidates are neighbours by longest common prefix, to a depth that adapts to how crowded the region
 of the order is (see :mod:`quiver.llm.pairs`). One-bit sketches of the whole signature drop unlike candidates before
-anything large moves; links are confirmed on full sets; components come from distributed union-find.
+anything large moves; links are confirmed on full sets; components come from distributed union-find. Regions too
+crowded for that are compared whole afterwards, as far as their documents are in different components.
 
 Defined results: a text without words has an empty set and is linked with nothing; one with fewer words than a
 shingle has its whole sequence as its only shingle. Documents with equal sets are linked. Rows that repeat a doc_id
@@ -23,7 +24,17 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from quiver.llm.common import held, map_batches, release, sorted_distinct, texts_of, written
-from quiver.llm.pairs import NeighbourParams, bloom, linked_components, maybe_in, neighbour_pairs, sketch_limit
+from quiver.llm.pairs import (
+    NeighbourParams,
+    bloom,
+    candidate_pairs,
+    crowded_components,
+    crowded_rows,
+    linked_components,
+    maybe_in,
+    neighbour_rows,
+    sketch_limit,
+)
 
 UNITS = 6  # signature values in a tree's key
 SKETCH_BITS = 128
@@ -146,6 +157,10 @@ def _alike(percent: int):  # noqa: ANN202
     return alike
 
 
+def _sets_of(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(items), np.uint64), np.fromiter(map(len, items), np.int64, len(items)) // 8
+
+
 def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is component_id)."""
     if params.trees > 64:
@@ -160,8 +175,10 @@ def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams())
     )
     rows = _tree_rows(distinct, params)
     kept: list[DataFrame] = []
-    pairs = held(neighbour_pairs(rows, signed.count() * params.trees, ["k1", "k2", "k3"], near), kept)
-    ends = pairs.select("a").union(pairs.select("b")).distinct()
+    met = held(neighbour_rows(rows, signed.count() * params.trees, ["k1", "k2", "k3"], near), kept)
+    pairs = held(candidate_pairs(met), kept)
+    crowded = crowded_rows(met)
+    ends = pairs.select("a").union(pairs.select("b")).union(crowded.select("id")).distinct()
     wanted = bloom(ends.select(F.xxhash64("a").alias("h")), "h")  # of bounded size
 
     def full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -174,6 +191,7 @@ def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams())
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("item", T.BinaryType())])
     items = written(map_batches(texts.withColumn("h", F.xxhash64("id")), full_sets, schema), "sets")
     joined = linked_components(pairs, items, _alike(params.percent), "near")
+    joined = crowded_components(joined, crowded, items, _sets_of, params.percent, "near")
     release(kept)
     # only sets with copies or links need a look-up; other documents are their own components
     groups = found.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))

@@ -1,7 +1,8 @@
-"""From signatures to components: neighbours in sorted order, confirmed links, distributed union-find.
+"""From signatures to components: neighbours in sorted order, confirmed links, distributed union-find, crowded regions.
 
-Everything here works on tables of long ids. No group is collected, no bucket is joined with itself: candidates come
-from neighbours in a range-partitioned sort, which also splits a region of any size over many tasks.
+Everything here works on tables of long ids. First candidates come from neighbours in a range-partitioned sort, which
+splits a region of any size over many tasks. Regions of which that leaves pairs out are then compared whole, as far as
+their rows aren't in one component yet: block against block, so that neither a task nor the driver holds a region.
 """
 
 from __future__ import annotations
@@ -26,6 +27,13 @@ BLOCK_ROWS = 1 << 15
 #: Links that a task joins by itself.
 LINK_ROWS = 200_000
 
+#: Rows, and bytes of their items, in one of the two blocks of a crowded region that a task compares.
+BLOCK_ITEMS = 1000
+BLOCK_BYTES = 8 << 20
+
+#: A value that more rows of two blocks share is counted by a matrix product, others pair by pair.
+FEW_HOLDERS = 16
+
 
 @dataclass(frozen=True)
 class NeighbourParams:
@@ -43,16 +51,60 @@ def pair_schema() -> T.StructType:
     return T.StructType([T.StructField(x, T.LongType()) for x in ("a", "b")])
 
 
-def neighbour_pairs(rows: DataFrame, n_rows: int, keys: list[str], params: NeighbourParams) -> DataFrame:
-    """Candidate pairs (a < b, votes): rows near each other in the order of ``keys`` (longs of two 32-bit units each).
+class Crowds:
+    """Which rows of a sorted partition are in a region that their neighbours don't cover.
+
+    Those of more than ``width`` rows, and the first and the last one, which other partitions may have rows of.
+    """
+
+    def __init__(self, width: int):
+        self.width = width
+        self.hot = True  # whether the rows of the region that is still open have been given out
+        self.region, self.waiting = None, np.zeros(0, np.int64)
+
+    def add(self, regions: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Regions and ids that are known to be crowded by now."""
+        before = self.region
+        if len(self.waiting):
+            regions = np.concatenate([np.full(len(self.waiting), before, regions.dtype), regions])
+            ids = np.concatenate([self.waiting, ids])
+        start = np.flatnonzero(np.concatenate([[True], regions[1:] != regions[:-1]]))
+        size = np.diff(np.append(start, len(regions)))
+        hot = size > self.width
+        hot[0] |= self.hot and (before is None or before == regions[0])
+        self.region, self.hot = regions[-1], bool(hot[-1])
+        self.waiting = ids[:0] if self.hot else ids[start[-1] :]
+        mask = np.repeat(hot, size)
+        return regions[mask], ids[mask]
+
+    def end(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.full(len(self.waiting), self.region if len(self.waiting) else 0, np.uint64), self.waiting
+
+
+def region_of(units: np.ndarray, depth: int) -> np.ndarray:
+    """A hash of each row's first ``depth`` units; of two units it is the units themselves."""
+    out = np.zeros(len(units), np.uint64)
+    for k in range(depth):
+        if k > 1:
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        out = (out << np.uint64(32) | units[:, k]) if k < 2 else out + units[:, k]
+    return out
+
+
+def neighbour_rows(rows: DataFrame, n_rows: int, keys: list[str], params: NeighbourParams) -> DataFrame:
+    """Pairs (a < b) of rows near each other in the order of ``keys`` (longs of two 32-bit units each), region null.
+
+    And, with b null, the rows a of the regions (of ``depth`` equal units) in which such pairs aren't all pairs.
 
     ``rows`` has the keys, id, with ``percent`` the set's size, with ``most_unlike`` the sketch s1, s2. A row meets the rows that follow it
     while they share at least ``depth`` units; where more than ``width`` rows do, the depth asked for grows to one at
-    which fewer than ``width`` remain, so crowded regions are cut finer than thin ones. votes: in how many orders a
-    pair met. Ranges of the sort are tasks; pairs across the border of two ranges meet in the other orders.
+    which fewer than ``width`` remain, so crowded regions are cut finer than thin ones. Ranges of the sort are tasks;
+    regions at the border of two ranges are taken for crowded. See ``candidate_pairs`` and ``crowded_rows``.
     """
     sketch = ["s1", "s2"] if params.most_unlike is not None else []
     longs_of = ["id", "size"] if params.percent is not None else ["id"]
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("a", "b", "region")])
     n = partitions_for(rows.sparkSession, n_rows, params.rows_per_partition)
     ordered = rows.repartitionByRange(n, *keys, "id").sortWithinPartitions(*keys, "id")
     width = params.width
@@ -87,7 +139,12 @@ def neighbour_pairs(rows: DataFrame, n_rows: int, keys: list[str], params: Neigh
             left.append(c["id"][i[fine]])
             right.append(c["id"][i[fine] + j])
         a, b = np.concatenate(left), np.concatenate(right)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    def crowd(regions: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(regions.view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """The same rows in larger blocks."""
@@ -103,12 +160,14 @@ def neighbour_pairs(rows: DataFrame, n_rows: int, keys: list[str], params: Neigh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] = {}
+        crowds = Crowds(width)
         for block in gathered(batches):
             new = {x: block.column(x).to_numpy() for x in longs_of}
             new |= {x: block.column(x).to_numpy().view(np.uint64) for x in sketch}
             longs = np.stack([block.column(x).to_numpy().view(np.uint64) for x in keys], 1)
             units = np.stack([longs >> np.uint64(32), longs & np.uint64(0xFFFFFFFF)], 2).astype(np.uint32)
             new["units"] = units.reshape(len(longs), -1)
+            yield crowd(*crowds.add(region_of(new["units"], params.depth), new["id"]))
             kept = {x: np.concatenate([kept[x], new[x]]) for x in new} if kept else new
             stop = len(kept["id"]) - width
             if stop > 0:
@@ -116,9 +175,19 @@ def neighbour_pairs(rows: DataFrame, n_rows: int, keys: list[str], params: Neigh
                 kept = {x: v[stop:] for x, v in kept.items()}
         if kept:
             yield emit(kept, len(kept["id"]))
+            yield crowd(*crowds.end())
+
+    return ordered.select(*keys, *longs_of, *sketch).mapInArrow(run, schema)
+
 
-    pairs = ordered.select(*keys, *longs_of, *sketch).mapInArrow(run, pair_schema())
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("votes"))
+def candidate_pairs(met: DataFrame) -> DataFrame:
+    """The pairs (a, b, votes) of ``neighbour_rows``; votes: in how many orders a pair met."""
+    return met.filter(F.col("b").isNotNull()).groupBy("a", "b").agg(F.count("*").alias("votes"))
+
+
+def crowded_rows(met: DataFrame) -> DataFrame:
+    """The rows (id, region) of ``neighbour_rows`` whose regions are to be compared whole."""
+    return met.filter(F.col("b").isNull()).select(F.col("a").alias("id"), "region")
 
 
 # -- a filter of bounded size
@@ -256,6 +325,114 @@ def linked_components(pairs: DataFrame, items: DataFrame, alike: Alike, name: st
     return components(joined, name)
 
 
+# -- crowded regions
+
+#: Items' sets of 64-bit values: all sets' values, one set after the other, and how many each has.
+SetsOf = Callable[[list], tuple[np.ndarray, np.ndarray]]
+
+
+def overlaps(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each set numbered in ``left`` has in common with each other one in ``right``."""
+    n, shape = len(sizes), (len(left), len(right))
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(values)
+    owner, values = owner[order], values[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+    at = np.cumsum(new) - 1
+    holders = np.bincount(at)
+    # values that few hold: each pair of holders
+    few = (holders[at] > 1) & (holders[at] <= FEW_HOLDERS)
+    o, c = owner[few], at[few]
+    row, column = np.full(n, -1), np.full(n, -1)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros(shape[0] * shape[1], np.int64)
+    for d in range(1, FEW_HOLDERS):
+        same = np.flatnonzero(c[d:] == c[:-d])
+        if not len(same):
+            break
+        for i, j in ((o[same], o[same + d]), (o[same + d], o[same])):
+            fine = (row[i] >= 0) & (column[j] >= 0)
+            cells, times = np.unique(row[i[fine]] * shape[1] + column[j[fine]], return_counts=True)
+            out[cells] += times
+    out = out.reshape(shape)
+    # values that many hold: products of 0-1 matrices, exact in 32-bit floats
+    many = holders[at] > FEW_HOLDERS
+    o, c = owner[many], at[many]
+    c = np.cumsum(np.concatenate([[True], c[1:] != c[:-1]])) - 1 if len(c) else c
+    for low in range(0, int(c[-1]) + 1 if len(c) else 0, 4096):
+        a, b = np.searchsorted(c, [low, low + 4096])
+        matrix = np.zeros((n, 4096), np.float32)
+        matrix[o[a:b], c[a:b] - low] = 1
+        out += (matrix[left] @ matrix[right].T).astype(np.int64)
+    return out
+
+
+def crowded_components(
+    found: DataFrame, crowded: DataFrame, items: DataFrame, sets_of: SetsOf, percent: int, name: str
+) -> DataFrame:
+    """The components (node, root) of ``found`` joined by every pair of a crowded region whose sets are alike.
+
+    All pairs of a region are compared whose ends are in different components. A region's largest component isn't
+    compared with itself, so a region that is nearly one component costs little. The others' rows and the largest's
+    are dealt to blocks by hashes of their ids; a task has two blocks. Regions of the same rows are compared once.
+    """
+    kept: list[DataFrame] = []
+    roots = found.select(F.col("node").alias("id"), "root")
+    rows = crowded.join(roots, "id", "left").select("id", "region", F.coalesce("root", "id").alias("root"))
+    by_root = rows.groupBy("region", "root").agg(
+        F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("print")
+    )
+    regions = by_root.groupBy("region").agg(
+        F.count("*").alias("components"), F.max(F.struct("n", "root")).alias("top"),
+        F.sum("n").alias("n"), F.expr("bit_xor(print)").alias("print"),
+    )
+    regions = regions.filter(F.col("components") > 1).groupBy("n", "print").agg(F.min(F.struct("region", "top")).alias("r"))
+    regions = regions.select("r.region", F.col("r.top.root").alias("top"))
+    rows = rows.join(regions, "region").select("id", "region", "root", (F.col("root") == F.col("top")).alias("main"))
+    sizes = items.select("id", F.octet_length("item").alias("bytes"))
+    rows = held(rows.join(sizes, "id"), kept)
+    # blocks of the other components' rows, then those of the largest one's; all in one where one is enough
+    n, size = F.count("*"), F.sum("bytes")
+    count = lambda on: F.greatest(
+        F.ceil(F.count_if(on) / BLOCK_ITEMS), F.ceil(F.sum(F.when(on, F.col("bytes")).otherwise(0)) / BLOCK_BYTES)
+    )
+    one = (n <= BLOCK_ITEMS) & (size <= BLOCK_BYTES)
+    dealt = rows.groupBy("region").agg(
+        F.when(one, 1).otherwise(count(~F.col("main"))).cast("int").alias("others"),
+        F.when(one, 0).otherwise(count(F.col("main"))).cast("int").alias("mains"),
+    )
+    rows = rows.join(dealt, "region")
+    hashed = F.xxhash64("id")
+    apart = F.col("main") & (F.col("mains") > 0)
+    own = F.when(apart, F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others")))
+    rows = rows.select("*", own.cast("int").alias("own"))
+    last = F.when(apart, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    rows = rows.select("id", "region", "root", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    rows = rows.select("id", "region", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = rows.join(items, "id").select("region", "x", "y", "own", "root", "item")
+
+    def run(t: pa.Table) -> pa.Table:
+        own, roots = t.column("own").to_numpy(), t.column("root").to_numpy()
+        left = np.flatnonzero(own == t.column("x")[0].as_py())
+        right = np.flatnonzero(own == t.column("y")[0].as_py())
+        values, sizes = sets_of(t.column("item").to_pylist())
+        both = overlaps(values, sizes, left, right)
+        fine = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+        fine &= roots[left][:, None] != roots[right][None, :]
+        i, j = np.nonzero(fine)
+        a, b = roots[left[i]], roots[right[j]]
+        links = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+
+    links = rows.groupBy("region", "x", "y").applyInArrow(run, pair_schema())
+    more = written(links.distinct(), f"{name}-crowded")
+    release(kept)
+    if more.isEmpty():
+        return found
+    joined = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    return components(joined, f"{name}-whole")
+
+
 def sketch_limit(bits: int, percent: int) -> int:
     """How many of ``bits`` one-bit hashes may differ: five standard deviations beyond what is expected at the threshold."""
     p = (1 - percent / 100) / 2

@@ -79,6 +79,51 @@ def test_large_group_of_near_copies(spark):
     check_documents(documents(spark, texts + [prose(100 + i, 60) for i in range(50)], extra=False), 2)
 
 
+def star(n, changed):
+    """A text of 300 words and ``n`` copies that are alike only through it: each with some words of its own."""
+    base = prose(9, 300).split(" ")
+    texts = []
+    for i in range(n):
+        rng, w = np.random.default_rng(i), list(base)
+        for k in rng.choice(len(w) // 2, changed, replace=False):
+            w[2 * k] = f"new{i}_{k}"
+        texts.append(" ".join(w))
+    return " ".join(base), texts
+
+
+@pytest.mark.parametrize("block", [1000, 150])
+def test_copies_that_are_alike_only_through_one_text(spark, block, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ITEMS", block)
+    base, copies = star(1000, 14)
+    sets = word_sets([base, *copies], 2)
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert all(0.8 <= alike(sets[0], s) < 0.85 for s in sets[1:])
+    assert sum(alike(sets[i], sets[i + 1]) >= 0.8 for i in range(1, 1000)) < 10
+    df = documents(spark, [*copies[:500], base, *copies[500:], prose(1, 60)], extra=False)
+    got = Counter(r.component_id for r in near_dup.near_duplicates(df, near_dup.ForestParams(words=2)).collect())
+    assert got == {0: 1001, 1001: 1}
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    sets = [set(rng.integers(0, 40 + 400 * (i % 3), 60).tolist()) for i in range(70)]
+    values = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
+    left, right = np.arange(0, 40), np.arange(30, 70)
+    got = pairs.overlaps(values, np.array([*map(len, sets)]), left, right)
+    assert all(got[i, j - 30] == len(sets[i] & sets[j]) for i in left for j in right if i != j)
+
+
+def test_crowds():
+    """Regions of more than ``width`` rows and those at the ends, however the rows come in blocks."""
+    regions = np.repeat(np.array([7, 8, 9, 10, 11, 12], np.uint64), [1, 3, 9, 2, 4, 1])
+    ids = np.arange(len(regions))
+    for step in (1, 2, 5, 30):
+        crowds = pairs.Crowds(3)
+        out = [crowds.add(regions[i : i + step], ids[i : i + step])[1] for i in range(0, len(ids), step)]
+        found = np.concatenate([*out, crowds.end()[1]])
+        assert found.tolist() == [i for i in ids if regions[i] in (7, 9, 11, 12)], step
+
+
 def test_rows_without_an_id_and_repeated_rows(spark):
     text = prose(4, 80)
     df = spark.createDataFrame([(None, text), (3, text), (3, text), (7, text), (9, None)], "doc_id long, text string")
