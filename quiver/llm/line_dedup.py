@@ -2,7 +2,8 @@
 
 Distinct lines (by 128-bit hash) get MinHash values of their character shingles, joined into bands. Lines that share
 a band are neighbours in its sorted order (ordered further by the next band's values, so that the likest stand
-together), candidates' texts are compared exactly, and distributed union-find joins them. Of all occurrences of a
+together), candidates' texts are compared exactly, and distributed union-find joins them. Bands that many lines share
+are then compared whole, as far as their lines are in different components. Of all occurrences of a
 component's lines the first, by (doc_id, line number), stays.
 
 Defined results: lines without a word are never compared and stay; a document whose lines with words all go is
@@ -21,8 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from quiver.llm.common import map_batches, sorted_distinct, texts_of, written
-from quiver.llm.pairs import NeighbourParams, bloom, candidate_pairs, linked_components, maybe_in, neighbour_rows
+from quiver.llm.common import held, map_batches, release, sorted_distinct, texts_of, written
+from quiver.llm.pairs import (
+    NeighbourParams,
+    bloom,
+    candidate_pairs,
+    crowded_components,
+    crowded_rows,
+    linked_components,
+    maybe_in,
+    neighbour_rows,
+)
 
 
 @dataclass(frozen=True)
@@ -188,6 +198,13 @@ def alike(xs: list[str], ys: list[str], params: LineParams) -> np.ndarray:
     return out
 
 
+def sets_of(lines: list[str], params: LineParams) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' sets of 53-bit shingle hashes, one after the other, and their sizes."""
+    hashes, first, counts = rolled(lines, params.shingle)
+    sets = [sorted_distinct(hashes[i : i + n] & np.uint64((1 << HASH_BITS) - 1)) for i, n in zip(first, counts, strict=True)]
+    return np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+
+
 def line_components(documents: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """Per line of a component of several occurrences: doc_id, line, and the first occurrence first_doc, first_line."""
     lines = written(line_table(documents, params), "lines")
@@ -200,9 +217,11 @@ def line_components(documents: DataFrame, params: LineParams = LineParams()) ->
     # a whole band in common: both units of its hash
     near = NeighbourParams(depth=2)
     rows = _band_rows(with_values, params)
-    met = neighbour_rows(rows, distinct.count() * params.bands, ["k1", "k2"], near)
+    kept: list[DataFrame] = []
+    met = held(neighbour_rows(rows, distinct.count() * params.bands, ["k1", "k2"], near), kept)
+    crowded = crowded_rows(met)
     pairs = written(candidate_pairs(met), "line-pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded.select("id")).distinct()
     needed = written(distinct.select("id", "f1", "f2").join(ends, "id"), "needed-lines")
     wanted = bloom(needed, "f1")  # of bounded size
 
@@ -218,6 +237,8 @@ def line_components(documents: DataFrame, params: LineParams = LineParams()) ->
     texts = texts.groupBy("f1", "f2").agg(F.min("item").alias("item"))
     items = written(needed.join(texts, ["f1", "f2"]).select("id", "item"), "line-texts")
     joined = linked_components(pairs, items, lambda x, y: alike(x, y, params), "lines")
+    joined = crowded_components(joined, crowded, items, lambda x: sets_of(x, params), params.percent, "lines")
+    release(kept)
     # each component's first occurrence, for the distinct lines that occur twice or are linked
     roots = distinct.select("id", "f1", "f2", "place", "n").join(
         joined.select(F.col("node").alias("id"), "root").unionByName(

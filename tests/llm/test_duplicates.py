@@ -192,6 +192,22 @@ def test_fuzzy_lines(spark):
     assert left[0] == line and 1 not in left and left[4] == "short" and 5 not in left and left[6] == "shorts"
 
 
+def test_lines_that_are_alike_only_through_one_line(spark):
+    """Variants of a line, each with another small change: they are like the line, not like each other."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    line = "".join(rng.choice(letters, 117))
+    variants = []
+    for i in range(300):
+        at = 8 + i % 100
+        variants.append(line[:at] + f"{i:02d}"[:2] + line[at + 2 :] + f"{i:03d}")
+    shingled = [line_dedup.shingles(x, 8) for x in [line, *variants]]
+    assert all(100 * len(shingled[0] & s) >= 80 * len(shingled[0] | s) for s in shingled[1:])
+    docs = documents(spark, [line, *variants], extra=False)
+    check_lines(docs)
+    assert [r.doc_id for r in line_dedup.keep_documents(docs).collect()] == [0]
+
+
 def test_exact_similarity():
     rng = np.random.default_rng(0)
     base = prose(1, 60).replace("\n", " ")
