@@ -39,7 +39,7 @@ from quiver.llm.pairs import (
 class LineParams:
     shingle: int = 8  # characters
     percent: int = 80  # least Jaccard similarity
-    bands: int = 8  # of 3 values each: of pairs just at the threshold one in 300 is missed, at 0.9 one in 30,000
+    bands: int = 12  # of 3 values each: of pairs just at the threshold one in 5,000 is missed, at 0.9 one in 5 million
     values: int = 3  # in a band
     seed: int = 5
 

@@ -208,6 +208,11 @@ def test_lines_that_are_alike_only_through_one_line(spark):
     assert [r.doc_id for r in line_dedup.keep_documents(docs).collect()] == [0]
 
 
+def test_bands_that_pairs_at_the_threshold_share():
+    params = line_dedup.LineParams()
+    assert (1 - (params.percent / 100) ** params.values) ** params.bands < 1 / 5000
+
+
 def test_exact_similarity():
     rng = np.random.default_rng(0)
     base = prose(1, 60).replace("\n", " ")
