@@ -4,11 +4,12 @@ Distinct lines (by 128-bit hash) get MinHash values of their character shingles,
 a band are neighbours in its sorted order (ordered further by the next band's values, so that the likest stand
 together), candidates' texts are compared exactly, and distributed union-find joins them. Bands that many lines share
 are then compared whole, as far as their lines are in different components. Of all occurrences of a
-component's lines the first, by (doc_id, line number), stays.
+component's lines the first, by (doc_id, line number, hash of the row's text), stays.
 
 Defined results: lines without a word are never compared and stay; a document whose lines with words all go is
-dropped, one that had none stays as it is. A null text stays null. Rows that repeat a doc_id are taken for one
-document: equal lines at equal places share their fate. Rows with a null doc_id come last in the order.
+dropped, one that had none stays as it is. A null text stays null. Rows that share a doc_id, or have none, are told
+apart by a 64-bit hash of their texts; of rows with the same doc_id and text one keeps lines, the others lose all that
+have a word. Rows with a null doc_id come last in the order.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
@@ -39,7 +40,7 @@ from quiver.llm.pairs import (
 class LineParams:
     shingle: int = 8  # characters
     percent: int = 80  # least Jaccard similarity
-    bands: int = 12  # of 3 values each: of pairs just at the threshold one in 5,000 is missed, at 0.9 one in 5 million
+    bands: int = 12  # of 3 values each: of pairs just at the threshold one in 5,000 is missed, at 0.9 one in 6 million
     values: int = 3  # in a band
     seed: int = 5
 
@@ -105,12 +106,12 @@ def _fingerprints(lines: list[str]) -> np.ndarray:
 
 
 def line_table(documents: DataFrame, params: LineParams) -> DataFrame:
-    """Every line that has a word: doc_id, line, fingerprint f1, f2 and MinHash values.
+    """Every line that has a word: doc_id, row (hash of the text it is in), line, fingerprint f1, f2 and MinHash values.
 
     Within a batch only the first of equal lines carries the values.
     """
     schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("line", T.IntegerType())]
+        [T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("line", T.IntegerType())]
         + [T.StructField(x, T.LongType()) for x in ("f1", "f2")]
         + [T.StructField("values", T.BinaryType())]
     )
@@ -128,13 +129,15 @@ def line_table(documents: DataFrame, params: LineParams) -> DataFrame:
         if first:
             for i, v in zip(first.values(), min_hashes([*first], params), strict=True):
                 values[i] = v.tobytes()
+        at = pa.array(row, pa.int32())
         columns = [
-            batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(number, pa.int32()),
+            batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(number, pa.int32()),
             pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(values, pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
+    return map_batches(rows, run, schema)
 
 
 def _band_rows(distinct: DataFrame, params: LineParams) -> DataFrame:
@@ -206,9 +209,9 @@ def sets_of(lines: list[str], params: LineParams) -> tuple[np.ndarray, np.ndarra
 
 
 def line_components(documents: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """Per line of a component of several occurrences: doc_id, line, and the first occurrence first_doc, first_line."""
+    """Per line of a component of several occurrences: doc_id, row, line, and whether it is the first occurrence."""
     lines = written(line_table(documents, params), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line", "row")
     distinct = lines.groupBy("f1", "f2").agg(
         F.min(place).alias("place"), F.max("values").alias("values"), F.count("*").alias("n")
     )
@@ -253,9 +256,10 @@ def line_components(documents: DataFrame, params: LineParams = LineParams()) ->
     linked = several.select("f1", "f2", "root").join(firsts, "root").select("f1", "f2", "first")
     alone = roots.filter(F.col("root").isNull()).select("f1", "f2", F.col("place").alias("first"))
     first_of = linked.unionByName(alone)
-    return lines.select("doc_id", "line", "f1", "f2").join(first_of, ["f1", "f2"]).select(
-        "doc_id", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line")
-    )
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    is_first &= (F.col("line") == F.col("first.line")) & (F.col("row") == F.col("first.row"))
+    found = lines.select("doc_id", "row", "line", "f1", "f2").join(first_of, ["f1", "f2"])
+    return found.select("doc_id", "row", "line", is_first.alias("is_first"))
 
 
 def dedup_lines(documents: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -264,23 +268,34 @@ def dedup_lines(documents: DataFrame, params: LineParams = LineParams()) -> Data
     ``text`` and, where there is one, ``n_chars`` follow what is left; emptied documents aren't dropped here.
     """
     found = line_components(documents, params)
-    first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))
-    gone = found.filter(~first).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    # a row that is there twice has each of its lines twice
+    gone = found.groupBy("doc_id", "row").agg(
+        F.collect_set(F.when(~F.col("is_first"), F.col("line"))).alias("gone"),
+        (F.count("*") > F.size(F.collect_set("line"))).alias("again"),
+    )
+    gone = gone.filter((F.size("gone") > 0) | F.col("again"))
     # the removed lines' numbers are far smaller than the texts: they are hashed, the texts needn't be sorted
-    gone = written(gone, "removed-lines").select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
-    gone = gone.hint("shuffle_hash")
+    gone = written(gone, "removed-lines").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "gone", "again")
+    repeated = not gone.filter("again").isEmpty()
+    gone = gone.select("_doc", "_row", F.col("gone").alias("_gone"), F.col("again").alias("_again")).hint("shuffle_hash")
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    placed = documents.select(*names).join(gone, documents["doc_id"].cast("long").eqNullSafe(gone["_doc"]), "left")
+    same = documents["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (F.xxhash64(documents["text"]) == gone["_row"])
+    placed = documents.select(*names).join(gone, same, "left").withColumn("_copy", F.lit(False))
+    if repeated:
+        nth = F.row_number().over(Window.partitionBy("_doc", "_row").orderBy("_doc"))
+        again = placed.filter("_again").withColumn("_copy", nth > 1)
+        placed = placed.filter(~F.coalesce("_again", F.lit(False))).unionByName(again)
     schema = T.StructType(
         [documents.schema[c] for c in names] + [T.StructField(x, T.LongType()) for x in ("n_lines", "n_removed")]
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, total, removed = [], [], []
-        for text, numbers in zip(texts_of(batch), batch.column("_gone").to_pylist(), strict=True):
+        of_rows = (batch.column(c).to_pylist() for c in ("_gone", "_copy"))
+        for text, numbers, copy in zip(texts_of(batch), *of_rows, strict=True):
             n = len(lines_of(text))
-            if numbers:
-                drop = set(numbers)
+            if numbers or copy:
+                drop = {i for i, _ in lines_of(text)} if copy else set(numbers)
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
             out.append(text)
             total.append(n)
@@ -294,7 +309,7 @@ def dedup_lines(documents: DataFrame, params: LineParams = LineParams()) -> Data
         columns |= {"n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
         return pa.RecordBatch.from_arrays([*columns.values()], schema.names)
 
-    return map_batches(placed.select(*names, "_gone"), run, schema)
+    return map_batches(placed.select(*names, "_gone", "_copy"), run, schema)
 
 
 def keep_documents(documents: DataFrame, params: LineParams = LineParams()) -> DataFrame:

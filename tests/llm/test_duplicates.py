@@ -213,6 +213,18 @@ def test_bands_that_pairs_at_the_threshold_share():
     assert (1 - (params.percent / 100) ** params.values) ** params.bands < 1 / 5000
 
 
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    one, two, three, four = ("".join(np.random.default_rng(i).choice(list("abcdefgh "), 60)) for i in range(4))
+    rows = [
+        (1, one), (None, one + "\n" + two), (None, three), (None, three), (None, three + "\n" + four),
+        (5, one), (5, "other words of its own"), (6, four), (6, four),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = Counter((r.doc_id, r.text) for r in line_dedup.keep_documents(df).collect())
+    assert left.pop((None, three)) == 1
+    assert left == {(1, one): 1, (None, two): 1, (5, "other words of its own"): 1, (6, four): 1}
+
+
 def test_exact_similarity():
     rng = np.random.default_rng(0)
     base = prose(1, 60).replace("\n", " ")
