@@ -187,7 +187,10 @@ class Encoder:
         if not text:
             return np.zeros(0, np.uint32)
         if SURE.fullmatch(text):
-            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+            except ValueError:  # its regular expressions give up on about a million blanks in a row
+                pass
         if self.slow is None:
             from tokenizers import Tokenizer
 

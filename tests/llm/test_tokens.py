@@ -130,6 +130,11 @@ def test_packing_awkward_rows(spark):
     assert sorted(rows)[2][:4] == (2, 0, 0, 1)  # a null text is its end id
 
 
+def test_packing_a_long_run_of_blanks():
+    text = "one" + " " * 2_000_000 + "word"
+    assert packing.Encoder(BYTE).ids(text).tolist() == ids_of(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=25))
 def test_any_histogram(histogram):
