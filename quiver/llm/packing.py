@@ -3,15 +3,17 @@
 Documents are encoded, closed with an end id and cut only where they exceed a sequence. What is left to decide
 depends on the histogram of piece lengths alone, of at most ``capacity`` bins, however many documents there are.
 On the driver, multiplicative weights solve the covering program "how often is each configuration (multiset of
-lengths that fits a sequence) used": a configuration is priced out by a knapsack dynamic program, used for a
-fraction of its scarcest length's demand, and the prices of the lengths it covers fall exponentially. The
-fractional counts are rounded as far as demand lasts; each length left over starts a sequence, largest first, that
-another knapsack fills best.
+lengths that fits a sequence) used": a knapsack dynamic program prices the configurations, the best are used a
+little, and the prices of the lengths that they cover fall exponentially. Each round's prices also give a lower bound.
+The fractional counts are rounded, in a few ways of which the best is taken, as far as demand lasts; each length left
+over starts a sequence, largest first, that another knapsack fills best.
 
 The pieces find their places without meeting: a piece's rank among those of its length follows from its rank within
 its own partition and the counts of earlier partitions, and the plan maps (length, rank) to sequence and offset.
 
-Defined results: a null text is an empty one, a single end id; repeated rows are packed each on their own.
+Defined results: a null text is an empty one, a single end id; repeated rows are packed each on their own. A very long
+text is cut into full pieces, each a sequence by itself. Which of several pieces of one length goes where follows from
+the order of the rows written; every choice fills the sequences alike.
 """
 
 from __future__ import annotations
@@ -36,60 +38,119 @@ from quiver.llm.common import arrow_rows, texts_of, written
 class PackParams:
     capacity: int = 1024
     end_id: int = 2
-    step: float = 0.5  # fraction of the scarcest length's demand that one step covers
-    slope: float = 1.0  # how fast prices fall with coverage
-    rounds: int = 4000  # bound on the steps
+    rounds: int = 60  # in which coverage rises from nothing to all, for each rate and to cover
+    rates: tuple[float, ...] = (16.0, 4.0, 1.0, 0.25, 0.0625)  # a price falls by exp(-rate) until its length is covered
+    slack: float = 0.01  # how much worse than the best one a configuration may be that a round uses
+    shares: tuple[float | None, ...] = (1.0, 0.9, 0.6, None)  # ways of rounding, of which the best is taken
 
 
 # -- the plan, on the driver
 
+Config = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the greatest value that fits, any number of each length: unbounded knapsack."""
-    best = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+
+def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest value that fits each room up to ``capacity``, any number of each length, and the length taken last.
+
+    Where nothing is taken, a room is worth what the next smaller one is.
+    """
+    worth = np.full(capacity + 1, -np.inf)  # by length
+    worth[lengths] = values
+    number = np.full(capacity + 1, -1)
+    number[lengths] = np.arange(len(lengths))
+    back = np.zeros(capacity + 1)  # the rooms' values from the largest room down: slices run the same way
+    last = np.zeros(capacity + 1, np.int64)
+    ways = np.empty(capacity + 1)
     for c in range(1, capacity + 1):
-        n = upto[c]
-        best[c] = best[c - 1]
-        if n:
-            ways = best[c - lengths[:n]] + values[:n]
-            k = int(ways.argmax())
-            if ways[k] > best[c]:
-                best[c], take[c] = ways[k], k
-    config: Counter[int] = Counter()
-    c = capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
+        np.add(back[capacity - c + 1 :], worth[1 : c + 1], out=ways[:c])
+        k = ways[:c].argmax()
+        before = back[capacity - c + 1]
+        if ways[k] > before:
+            back[capacity - c], last[c] = ways[k], k + 1
         else:
-            config[int(lengths[take[c]])] += 1
-            c -= int(lengths[take[c]])
-    return dict(config)
+            back[capacity - c] = before
+    return back[::-1].copy(), number[last]
 
 
-def solve(demand: dict[int, int], params: PackParams) -> dict[tuple[tuple[int, int], ...], float]:
-    """Fractional counts of configurations that cover the demand, by multiplicative weights with dropping."""
-    lengths = np.array(sorted(demand), np.int64)
-    need = np.array([demand[x] for x in lengths.tolist()], np.float64)
-    at = {x: i for i, x in enumerate(lengths.tolist())}
+def choice(take: np.ndarray, room: int, lengths: np.ndarray) -> Counter[int]:
+    """What a knapsack of ``room`` holds: copies by the length's number."""
+    held: Counter[int] = Counter()
+    while room > 0:
+        k = int(take[room])
+        if k < 0:
+            room -= 1
+        else:
+            held[k] += 1
+            room -= int(lengths[k])
+    return held
+
+
+def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
+    """The configuration of the greatest value that fits."""
+    _, take = knapsack(values, lengths, capacity)
+    return {int(lengths[k]): n for k, n in choice(take, capacity, lengths).items()}
+
+
+def cover(
+    need: np.ndarray, lengths: np.ndarray, prices: np.ndarray, rate: float, whole: bool, params: PackParams
+) -> tuple[dict[Config, float], np.ndarray, float]:
+    """Rounds of multiplicative weights: counts of configurations, the prices of the best lower bound, this bound.
+
+    A length's weight is its demand times its price, which falls as exp(-rate * covered share). In each round one
+    knapsack prices all configurations; those that hold a length behind the round's level and are worth (1 - slack)
+    of the best are used until the level is reached. Prices by which no configuration is worth more than 1 are a
+    solution of the dual program, so what they make the demand worth bounds every packing from below. With ``whole``
+    nothing is covered twice, and a length that is covered is dropped, until all are.
+    """
     covered = np.zeros(len(lengths))
-    used: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(params.rounds):
-        open_ = covered < 1 - 1e-9
-        if not open_.any():
+    used: dict[Config, float] = {}
+    dual, bound, rounds = prices, 0.0, params.rounds
+    for turn in range(rounds * (3 if whole else 1)):
+        open_ = np.flatnonzero(covered < 1 - 1e-9) if whole else np.arange(len(lengths))
+        if not len(open_):
             break
-        # a length's price: its size, more while it is uncovered, and more yet for the large ones, which fit least
-        weight = lengths * (1 + 0.2 * lengths / params.capacity) * np.exp(-params.slope * 0.1 * covered)
-        config = price(weight[open_], lengths[open_], params.capacity)
-        rows = np.array([at[x] for x in config])
-        copies = np.array([*config.values()], np.float64)
-        left = need[rows] * (1 - covered[rows])
-        amount = min((left / copies).min(), max(params.step * (need[rows] / copies).min(), 1e-9))
-        covered[rows] += amount * copies / need[rows]
-        key = tuple(sorted(config.items(), reverse=True))
-        used[key] = used.get(key, 0.0) + amount
-    return used
+        level = (turn + 1) / rounds
+        values, sizes = prices[open_] * np.exp(-rate * covered[open_]), lengths[open_]
+        best, take = knapsack(values, sizes, params.capacity)
+        if float(need[open_] @ values) / best[-1] > bound:
+            bound = float(need[open_] @ values) / best[-1]
+            dual = np.zeros(len(lengths))
+            dual[open_] = values / best[-1]
+        top, before = min(1.0, level) if whole else level, covered.copy()
+        worth = values + best[params.capacity - sizes]
+        behind = np.flatnonzero((covered[open_] < top - 1e-12) & (worth >= (1 - params.slack) * best[-1]))
+        for k in behind[np.argsort(covered[open_][behind], kind="stable")].tolist():
+            if covered[open_[k]] >= top - 1e-12:
+                continue  # covered by this round's other configurations
+            held = choice(take, params.capacity - int(sizes[k]), sizes)
+            held[k] += 1
+            rows = open_[[*held]]
+            copies = np.array([*held.values()], np.float64)
+            most = np.full(len(rows), min(1.0, level + 1 / rounds)) if whole else before[rows] + 2 / rounds
+            most[rows == open_[k]] = top
+            amount = float(((most - covered[rows]) * need[rows] / copies).min())
+            if amount > 0:
+                covered[rows] += amount * copies / need[rows]
+                config = tuple(sorted(((int(sizes[i]), n) for i, n in held.items()), reverse=True))
+                used[config] = used.get(config, 0.0) + amount
+    return used, dual, bound
+
+
+def solve(demand: dict[int, int], params: PackParams) -> tuple[dict[Config, float], float]:
+    """Fractional counts of configurations that cover the demand, and a lower bound on how many any packing needs.
+
+    Prices start as the lengths themselves, the best ones where nothing need be wasted. Rounds with ever slower
+    prices, each from the best found before, only find prices; the last ones cover the demand by them.
+    """
+    lengths = np.array(sorted(demand), np.int64)
+    need = np.array([demand[x] for x in lengths.tolist()], np.float64)
+    prices, bound = lengths.astype(np.float64), 0.0
+    for rate in params.rates:
+        _, dual, found = cover(need, lengths, prices, rate, False, params)
+        if found > bound:
+            prices, bound = dual, found
+    used, _, found = cover(need, lengths, prices, params.rates[-1], True, params)
+    return used, max(bound, found)
 
 
 def fill(room: int, left: dict[int, int], lengths: list[int]) -> dict[int, int]:
@@ -119,16 +180,16 @@ def fill(room: int, left: dict[int, int], lengths: list[int]) -> dict[int, int]:
     return config
 
 
-def plan(histogram: dict[int, int], params: PackParams) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Configurations ((length, copies), ...) and how many sequences use each; they hold the histogram exactly."""
-    left = {x: n for x, n in histogram.items() if n > 0}
-    out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    if full := left.pop(params.capacity, 0):
-        out.append((((params.capacity, 1),), full))
-    if not left:
-        return out
-    for config, amount in sorted(solve(left, params).items(), key=lambda x: (-x[1], x[0])):
-        times = min(int(amount), *(left[x] // n for x, n in config))
+def rounded(counts: dict[Config, float], demand: dict[int, int], capacity: int, share: float | None) -> list[tuple[Config, int]]:
+    """Whole counts that hold the demand exactly: each count's whole part, or, with ``share``, so much of the counts' sum.
+
+    In the latter case what one count loses another, of like lengths, gains. What is left over is filled largest first.
+    """
+    left, out, owed = dict(demand), [], 0.0
+    for config, amount in sorted(counts.items(), reverse=True):
+        owed = amount if share is None else owed + share * amount
+        times = min(int(owed + 1e-9), *(left[x] // n for x, n in config))
+        owed = min(owed - times, 1.0)
         if times > 0:
             out.append((config, times))
             for x, n in config:
@@ -137,16 +198,29 @@ def plan(histogram: dict[int, int], params: PackParams) -> list[tuple[tuple[tupl
     while lengths:
         top = lengths[0]
         left[top] -= 1
-        config = Counter({top: 1}) + Counter(fill(params.capacity - top, left, lengths))
+        held = Counter({top: 1}) + Counter(fill(capacity - top, left, lengths))
         left[top] += 1
-        times = min(left[x] // n for x, n in config.items())
-        out.append((tuple(sorted(config.items(), reverse=True)), times))
-        for x, n in config.items():
+        times = min(left[x] // n for x, n in held.items())
+        out.append((tuple(sorted(held.items(), reverse=True)), times))
+        for x, n in held.items():
             left[x] -= n * times
         lengths = [x for x in lengths if left[x]]
     return out
 
 
+def plan(histogram: dict[int, int], params: PackParams) -> list[tuple[Config, int]]:
+    """Configurations and how many sequences use each; they hold the histogram exactly."""
+    demand = {x: n for x, n in histogram.items() if n > 0}
+    out: list[tuple[Config, int]] = []
+    if full := demand.pop(params.capacity, 0):
+        out.append((((params.capacity, 1),), full))
+    if not demand:
+        return out
+    counts, _ = solve(demand, params)
+    ways = [rounded(counts, demand, params.capacity, share) for share in params.shares]
+    return out + min(ways, key=lambda found: sum(times for _, times in found))
+
+
 def places(configs: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset), by length and rank: where pieces go."""
     rows, ranks, sequence = [], Counter(), 0
@@ -279,9 +353,17 @@ def pack(documents: DataFrame, path: str, params: PackParams = PackParams()) ->
 
 
 def lower_bound(histogram: dict[int, int], capacity: int) -> int:
-    """No packing has fewer sequences: their total length, or the pieces over half a sequence."""
-    total = sum(x * n for x, n in histogram.items())
-    return max(-(-total // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
+    """No packing has fewer sequences: pieces' sizes rounded so that no sequence's sizes add up to more than 1.
+
+    For k = 0 the sizes are the lengths; for k > 0 a length x counts as floor((k + 1) x / capacity) / k, or, where that
+    is a whole number before rounding, as x / capacity (the dual feasible functions of Fekete and Schepers).
+    """
+    least = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    for k in range(1, min(100, capacity) + 1):
+        # in units of 1 / (k * capacity), so that all is whole
+        sizes = {x: k * x if (k + 1) * x % capacity == 0 else (k + 1) * x // capacity * capacity for x in histogram}
+        least = max(least, -(-sum(sizes[x] * n for x, n in histogram.items()) // (k * capacity)))
+    return least
 
 
 def tokens_path(spark: SparkSession, name: str) -> str:

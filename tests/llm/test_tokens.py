@@ -135,10 +135,10 @@ def test_packing_a_long_run_of_blanks():
     assert packing.Encoder(BYTE).ids(text).tolist() == ids_of(text)
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=25))
 def test_any_histogram(histogram):
-    params = packing.PackParams(capacity=60, rounds=200)
+    params = packing.PackParams(capacity=60, rounds=20)
     got, used = Counter(), 0
     for config, times in packing.plan(histogram, params):
         assert times > 0 and sum(x * n for x, n in config) <= 60
@@ -151,6 +151,54 @@ def test_any_histogram(histogram):
     assert len(slots) == len({(a, b) for a, b, _, _ in slots.tolist()})
 
 
+@pytest.mark.parametrize("kind", ["few lengths", "nothing wasted", "large ones", "thirds"])
+def test_plan_against_its_certificate(kind):
+    """Sequences used, against bounds that hold for any packing: the dual's value and the rounded sizes."""
+    rng = np.random.default_rng(1)
+    histogram = {
+        "few lengths": {341: 900, 342: 900, 343: 900, 500: 500, 171: 800},
+        "nothing wasted": Counter(np.clip(np.exp(rng.normal(5.5, 0.9, 20_000)).astype(int), 1, 1023).tolist()),
+        "large ones": Counter(rng.integers(300, 1024, 20_000).tolist()),
+        "thirds": Counter(rng.integers(200, 500, 20_000).tolist()),
+    }[kind]
+    params = packing.PackParams()
+    counts, dual = packing.solve(histogram, params)
+    # no configuration is worth more than 1 by the dual's prices: no packing of the demand beats its value
+    used = sum(times for _, times in packing.plan(histogram, params))
+    covered = Counter()
+    for config, amount in counts.items():
+        for x, n in config:
+            covered[x] += n * amount
+    assert all(covered[x] <= n * (1 + 1e-9) for x, n in histogram.items())
+    assert dual <= used and packing.lower_bound(histogram, 1024) <= used
+    assert used <= 1.02 * max(dual, packing.lower_bound(histogram, 1024)) + len(histogram)
+    assert used <= 1.01 * sum(counts.values()) + len(histogram)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 4), min_size=1, max_size=4))
+def test_bounds_hold(histogram):
+    """Neither bound exceeds the fewest sequences, found by trying every placement."""
+    pieces = sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True)[:8]
+
+    def fewest(rest, rooms, best):
+        if len(rooms) >= best:
+            return best
+        if not rest:
+            return len(rooms)
+        for i, room in enumerate(dict.fromkeys(rooms)):
+            if rest[0] <= room:
+                at = rooms.index(room)
+                best = min(best, fewest(rest[1:], [*rooms[:at], room - rest[0], *rooms[at + 1 :]], best))
+        return min(best, fewest(rest[1:], [*rooms, 12 - rest[0]], best))
+
+    want = fewest(pieces, [], len(pieces) + 1)
+    found = Counter(pieces)
+    assert packing.lower_bound(found, 12) <= want
+    assert packing.solve(found, packing.PackParams(capacity=12, rounds=10))[1] <= want + 1e-6
+    assert sum(t for _, t in packing.plan(found, packing.PackParams(capacity=12, rounds=10))) <= want + 1
+
+
 def test_pricing_is_a_knapsack():
     import itertools
 
