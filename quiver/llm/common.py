@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,19 @@ ARROW_BYTES = 16 << 20
 SYMBOLS = b"#*$%&|<>"
 
 _made: list[tuple[SparkSession, str]] = []
+_lasting: set[str] = set()
 _shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests on one machine, is a temporary folder made and set.
+    Only where that is unset and all run on one machine, as in tests, is a temporary folder made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quiver-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _made.append((spark, folder))
@@ -41,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder. It is removed when the driver's Python ends."""
+    """A new path below the shared folder. It is removed at the end of ``passing``, or when the driver's Python ends."""
     path = f"{shared_folder(spark)}/quiver/{uuid.uuid4().hex}/{name}"
     _made.append((spark, path.rpartition("/")[0]))
     return path
@@ -63,10 +67,24 @@ def _remove_all() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables written inside are removed at the end, but for ``lasting`` ones: no result may still need the others."""
+    at = len(_made)
+    try:
+        yield
+    finally:
+        for spark, path in [x for x in _made[at:] if x[1] not in _lasting]:
+            remove(spark, path)
+            _made.remove((spark, path))
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if lasting:
+        _lasting.add(path.rpartition("/")[0])
     # once the table is written, the shuffle files that led to it are of no use
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")

@@ -1,8 +1,8 @@
 """Line dedup: fuzzy lines by MinHash over character shingles, one line kept of each component.
 
 Distinct lines (by 128-bit hash) get MinHash values of their character shingles, joined into bands. Lines that share
-a band are neighbours in its sorted order (ordered further by the next band's values, so that the likest stand
-together), candidates' texts are compared exactly, and distributed union-find joins them. Bands that many lines share
+a band are neighbours in the sorted order of the bands' hashes, candidates' texts are compared exactly, and
+distributed union-find joins them. Bands that many lines share
 are then compared whole, as far as their lines are in different components. Of all occurrences of a
 component's lines the first, by (doc_id, line number, hash of the row's text), stays.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from quiver.llm.common import held, map_batches, release, sorted_distinct, texts_of, written
+from quiver.llm.common import map_batches, passing, sorted_distinct, texts_of, written
 from quiver.llm.pairs import (
     NeighbourParams,
     bloom,
@@ -33,6 +33,7 @@ from quiver.llm.pairs import (
     linked_components,
     maybe_in,
     neighbour_rows,
+    spread,
 )
 
 
@@ -105,15 +106,25 @@ def _fingerprints(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(xxh3_128_digest(x.encode("utf-8")) for x in lines), np.int64).reshape(-1, 2)
 
 
+def band_keys(values: np.ndarray, params: LineParams) -> np.ndarray:
+    """A 64-bit hash of each band's values and its number (lines x bands)."""
+    values = values.astype(np.uint64)
+    key = np.tile(np.arange(1, params.bands + 1, dtype=np.uint64), (len(values), 1))
+    for k in range(params.values):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + values[:, k :: params.values]
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
 def line_table(documents: DataFrame, params: LineParams) -> DataFrame:
-    """Every line that has a word: doc_id, row (hash of the text it is in), line, fingerprint f1, f2 and MinHash values.
+    """Every line that has a word: doc_id, row (hash of the text it is in), line, fingerprint f1, f2 and bands' keys b0, ...
 
-    Within a batch only the first of equal lines carries the values.
+    Within a batch only the first of equal lines carries the keys, and only if it has a full shingle.
     """
+    bands = [f"b{k}" for k in range(params.bands)]
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("line", T.IntegerType())]
-        + [T.StructField(x, T.LongType()) for x in ("f1", "f2")]
-        + [T.StructField("values", T.BinaryType())]
+        + [T.StructField(x, T.LongType()) for x in ("f1", "f2", *bands)]
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -125,14 +136,15 @@ def line_table(documents: DataFrame, params: LineParams) -> DataFrame:
                 texts.append(line)
         prints = _fingerprints(texts)
         first = {x: i for i, x in reversed(list(enumerate(texts))) if len(x) >= params.shingle}
-        values: list[bytes | None] = [None] * len(texts)
+        at, keys = np.full(len(texts), -1), np.zeros((0, params.bands), np.int64)
         if first:
-            for i, v in zip(first.values(), min_hashes([*first], params), strict=True):
-                values[i] = v.tobytes()
-        at = pa.array(row, pa.int32())
+            at[[*first.values()]] = np.arange(len(first))
+            keys = band_keys(min_hashes([*first], params), params)
+        of_doc, of_line = pa.array(row, pa.int32()), pa.array(at, pa.int32(), mask=at < 0)
         columns = [
-            batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(number, pa.int32()),
-            pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(values, pa.binary()),
+            batch.column("doc_id").take(of_doc), batch.column("row").take(of_doc), pa.array(number, pa.int32()),
+            pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()),
+            *(pa.array(keys[:, k].copy()).take(of_line) for k in range(params.bands)),
         ]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -140,39 +152,10 @@ def line_table(documents: DataFrame, params: LineParams) -> DataFrame:
     return map_batches(rows, run, schema)
 
 
-def _band_rows(distinct: DataFrame, params: LineParams) -> DataFrame:
-    """A row for each distinct line and band: the band's hash, the next band's first values, and id."""
-    names = ["k1", "k2", "id"]
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in names])
-    bands, per = params.bands, params.values
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = batch.num_rows
-        values = np.frombuffer(b"".join(batch.column("values").to_pylist()), np.uint32).reshape(n, bands * per)
-        values = values.astype(np.uint64)
-        key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (n, 1))
-        for k in range(per):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + values[:, k::per]
-            key ^= key >> np.uint64(32)
-        after = np.roll(values, -per, axis=1)
-        then = after[:, ::per] << np.uint64(32) | after[:, min(1, per - 1) :: per]
-        columns = [key.view(np.int64).ravel(), then.view(np.int64).ravel()]
-        columns.append(np.repeat(batch.column("id").to_numpy(), bands))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    return map_batches(distinct.select("id", "values"), run, schema)
-
-
 #: Low bits of a shingle's hash that are compared; the high ones number lines and pairs of a block.
 HASH_BITS = 53
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Positions start, start + 1, ... of each run, one run after the other."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def alike(xs: list[str], ys: list[str], params: LineParams) -> np.ndarray:
     """Whether the Jaccard similarity of each pair's sets of character shingles reaches the threshold.
 
@@ -187,13 +170,13 @@ def alike(xs: list[str], ys: list[str], params: LineParams) -> np.ndarray:
             number = {line: i for i, line in enumerate(dict.fromkeys([*x, *y]))}
             hashes, first, counts = rolled([*number], params.shingle)
             owner = np.repeat(np.arange(len(number), dtype=np.uint64), counts)
-            sets = sorted_distinct(owner << shift | hashes[_spread(first, counts)] & mask)
+            sets = sorted_distinct(owner << shift | hashes[spread(first, counts)] & mask)
             starts = np.searchsorted(sets >> shift, np.arange(len(number) + 1, dtype=np.uint64))
             size = np.diff(starts)
             a, b = (np.fromiter(map(number.__getitem__, z), np.int64, len(z)) for z in (x, y))
             pair = np.arange(len(x), dtype=np.uint64)
             union = np.concatenate(
-                [np.repeat(pair, size[z]) << shift | sets[_spread(starts[z], size[z])] & mask for z in (a, b)]
+                [np.repeat(pair, size[z]) << shift | sets[spread(starts[z], size[z])] & mask for z in (a, b)]
             )
             union.sort()
             both = np.bincount((union[1:][union[1:] == union[:-1]] >> shift).astype(np.int64), minlength=len(x))
@@ -210,23 +193,19 @@ def sets_of(lines: list[str], params: LineParams) -> tuple[np.ndarray, np.ndarra
 
 def line_components(documents: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """Per line of a component of several occurrences: doc_id, row, line, and whether it is the first occurrence."""
+    bands = [f"b{k}" for k in range(params.bands)]
     lines = written(line_table(documents, params), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line", "row")
-    distinct = lines.groupBy("f1", "f2").agg(
-        F.min(place).alias("place"), F.max("values").alias("values"), F.count("*").alias("n")
-    )
+    distinct = lines.groupBy("f1", "f2").agg(F.count("*").alias("n"), *(F.max(b).alias(b) for b in bands))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
-    with_values = distinct.filter(F.col("values").isNotNull())
     # a whole band in common: both units of its hash
     near = NeighbourParams(depth=2)
-    rows = _band_rows(with_values, params)
-    kept: list[DataFrame] = []
-    met = held(neighbour_rows(rows, distinct.count() * params.bands, ["k1", "k2"], near), kept)
-    crowded = crowded_rows(met)
-    pairs = written(candidate_pairs(met), "line-pairs")
+    rows = distinct.filter(F.col(bands[0]).isNotNull()).select(F.explode(F.array(*bands)).alias("k1"), "id")
+    n_lines = distinct.count()
+    met = written(neighbour_rows(rows, n_lines * params.bands, ["k1"], near), "line-neighbours")
+    crowded, pairs = crowded_rows(met), written(candidate_pairs(met), "line-pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded.select("id")).distinct()
     needed = written(distinct.select("id", "f1", "f2").join(ends, "id"), "needed-lines")
-    wanted = bloom(needed, "f1")  # of bounded size
+    wanted = bloom(needed, "f1", needed.count())
 
     def candidate_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = list({x for t in texts_of(batch) for _, x in lines_of(t) if len(x) >= params.shingle})
@@ -241,25 +220,28 @@ def line_components(documents: DataFrame, params: LineParams = LineParams()) ->
     items = written(needed.join(texts, ["f1", "f2"]).select("id", "item"), "line-texts")
     joined = linked_components(pairs, items, lambda x, y: alike(x, y, params), "lines")
     joined = crowded_components(joined, crowded, items, lambda x: sets_of(x, params), params.percent, "lines")
-    release(kept)
-    # each component's first occurrence, for the distinct lines that occur twice or are linked
-    roots = distinct.select("id", "f1", "f2", "place", "n").join(
-        joined.select(F.col("node").alias("id"), "root").unionByName(
-            joined.select(F.col("root").alias("id"), "root").distinct()
-        ),
-        "id",
-        "left",
-    )
-    roots = written(roots.filter((F.col("n") > 1) | F.col("root").isNotNull()), "line-roots")
-    several = roots.filter(F.col("root").isNotNull())
-    firsts = written(several.groupBy("root").agg(F.min("place").alias("first")), "line-firsts")
-    linked = several.select("f1", "f2", "root").join(firsts, "root").select("f1", "f2", "first")
-    alone = roots.filter(F.col("root").isNull()).select("f1", "f2", F.col("place").alias("first"))
-    first_of = linked.unionByName(alone)
+    # the distinct lines that occur twice or are linked, by the smallest linked one
+    linked = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+    several = distinct.select("id", "f1", "f2", "n").join(linked.withColumnRenamed("node", "id"), "id", "left")
+    several = several.filter((F.col("n") > 1) | F.col("root").isNotNull())
+    several = several.select("f1", "f2", F.coalesce("root", "id").alias("root"))
+    found = written(lines.select("doc_id", "row", "line", "f1", "f2").join(several, ["f1", "f2"]).drop("f1", "f2"), "places")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line", "row")
+    firsts = written(found.groupBy("root").agg(F.min(place).alias("first")), "first-places")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     is_first &= (F.col("line") == F.col("first.line")) & (F.col("row") == F.col("first.row"))
-    found = lines.select("doc_id", "row", "line", "f1", "f2").join(first_of, ["f1", "f2"])
-    return found.select("doc_id", "row", "line", is_first.alias("is_first"))
+    return found.join(firsts, "root").select("doc_id", "row", "line", is_first.alias("is_first"))
+
+
+def removed_lines(documents: DataFrame, params: LineParams) -> DataFrame:
+    """Per row that loses a line or stands there again: _doc, _row, _gone (numbers of lines) and _again."""
+    found = line_components(documents, params)
+    # a row that is there twice has each of its lines twice
+    gone = found.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(
+        F.collect_set(F.when(~F.col("is_first"), F.col("line"))).alias("_gone"),
+        (F.count("*") > F.size(F.collect_set("line"))).alias("_again"),
+    )
+    return gone.filter((F.size("_gone") > 0) | F.col("_again"))
 
 
 def dedup_lines(documents: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -267,35 +249,33 @@ def dedup_lines(documents: DataFrame, params: LineParams = LineParams()) -> Data
 
     ``text`` and, where there is one, ``n_chars`` follow what is left; emptied documents aren't dropped here.
     """
-    found = line_components(documents, params)
-    # a row that is there twice has each of its lines twice
-    gone = found.groupBy("doc_id", "row").agg(
-        F.collect_set(F.when(~F.col("is_first"), F.col("line"))).alias("gone"),
-        (F.count("*") > F.size(F.collect_set("line"))).alias("again"),
-    )
-    gone = gone.filter((F.size("gone") > 0) | F.col("again"))
-    # the removed lines' numbers are far smaller than the texts: they are hashed, the texts needn't be sorted
-    gone = written(gone, "removed-lines").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "gone", "again")
-    repeated = not gone.filter("again").isEmpty()
-    gone = gone.select("_doc", "_row", F.col("gone").alias("_gone"), F.col("again").alias("_again")).hint("shuffle_hash")
+    with passing():
+        gone = written(removed_lines(documents, params), "removed-lines", lasting=True)
+    repeated = not gone.filter("_again").isEmpty()
+    # names of its own, whatever the documents' columns are called
+    mark = "_"
+    while any(c.startswith(mark) for c in documents.columns):
+        mark += "_"
+    doc, row, lost, again, copy = (f"{mark}{x}" for x in ("doc", "row", "gone", "again", "copy"))
+    gone = gone.toDF(doc, row, lost, again)
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    same = documents["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (F.xxhash64(documents["text"]) == gone["_row"])
-    placed = documents.select(*names).join(gone, same, "left").withColumn("_copy", F.lit(False))
+    same = documents["doc_id"].cast("long").eqNullSafe(gone[doc]) & (F.xxhash64(documents["text"]) == gone[row])
+    placed = documents.select(*names).join(gone, same, "left").withColumn(copy, F.lit(False))
     if repeated:
-        nth = F.row_number().over(Window.partitionBy("_doc", "_row").orderBy("_doc"))
-        again = placed.filter("_again").withColumn("_copy", nth > 1)
-        placed = placed.filter(~F.coalesce("_again", F.lit(False))).unionByName(again)
+        nth = F.row_number().over(Window.partitionBy(doc, row).orderBy(doc))
+        several = placed.filter(again).withColumn(copy, nth > 1)
+        placed = placed.filter(~F.coalesce(again, F.lit(False))).unionByName(several)
     schema = T.StructType(
         [documents.schema[c] for c in names] + [T.StructField(x, T.LongType()) for x in ("n_lines", "n_removed")]
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, total, removed = [], [], []
-        of_rows = (batch.column(c).to_pylist() for c in ("_gone", "_copy"))
-        for text, numbers, copy in zip(texts_of(batch), *of_rows, strict=True):
+        of_rows = (batch.column(c).to_pylist() for c in (lost, copy))
+        for text, numbers, is_copy in zip(texts_of(batch), *of_rows, strict=True):
             n = len(lines_of(text))
-            if numbers or copy:
-                drop = {i for i, _ in lines_of(text)} if copy else set(numbers)
+            if numbers or is_copy:
+                drop = {i for i, _ in lines_of(text)} if is_copy else set(numbers)
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
             out.append(text)
             total.append(n)
@@ -309,7 +289,7 @@ def dedup_lines(documents: DataFrame, params: LineParams = LineParams()) -> Data
         columns |= {"n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
         return pa.RecordBatch.from_arrays([*columns.values()], schema.names)
 
-    return map_batches(placed.select(*names, "_gone", "_copy"), run, schema)
+    return map_batches(placed.select(*names, lost, copy), run, schema)
 
 
 def keep_documents(documents: DataFrame, params: LineParams = LineParams()) -> DataFrame:

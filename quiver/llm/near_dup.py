@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from quiver.llm.common import held, map_batches, release, sorted_distinct, texts_of, written
+from quiver.llm.common import map_batches, passing, sorted_distinct, texts_of, written
 from quiver.llm.pairs import (
     NeighbourParams,
     bloom,
@@ -165,8 +165,23 @@ def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams())
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is component_id)."""
     if params.trees > 64:
         raise ValueError("a key has room for 64 trees")
-    signed = written(signatures(documents, params), "signatures")
+    signed = written(signatures(documents, params), "signatures", lasting=True)
     found = signed.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
+    with passing():
+        groups = written(_linked_sets(documents, signed.count(), found, params), "groups", lasting=True)
+    sets = signed.select("doc_id", "size", "f1", "f2").join(groups, ["f1", "f2"], "left")
+    own = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
+    component = F.coalesce(own, F.col("doc_id"))
+    return sets.select(
+        "doc_id",
+        F.col("size").alias("n_shingles"),
+        component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
+    )
+
+
+def _linked_sets(documents: DataFrame, n_rows: int, found: DataFrame, params: ForestParams) -> DataFrame:
+    """The sets (f1, f2) that several documents have or that are linked, and their component."""
     # equal sets are linked by their fingerprint; one document stands for all of them from here on
     distinct = found.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "size", "signature")).alias("first"))
     distinct = distinct.select(F.col("first.doc_id").alias("id"), "first.size", "first.signature")
@@ -174,12 +189,10 @@ def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams())
         depth=params.depth, percent=params.percent, most_unlike=sketch_limit(SKETCH_BITS, params.percent)
     )
     rows = _tree_rows(distinct, params)
-    kept: list[DataFrame] = []
-    met = held(neighbour_rows(rows, signed.count() * params.trees, ["k1", "k2", "k3"], near), kept)
-    pairs = held(candidate_pairs(met), kept)
-    crowded = crowded_rows(met)
-    ends = pairs.select("a").union(pairs.select("b")).union(crowded.select("id")).distinct()
-    wanted = bloom(ends.select(F.xxhash64("a").alias("h")), "h")  # of bounded size
+    met = written(neighbour_rows(rows, n_rows * params.trees, ["k1", "k2", "k3"], near), "near-neighbours")
+    pairs, crowded = written(candidate_pairs(met), "near-pairs"), crowded_rows(met)
+    ends = written(pairs.select("a").union(pairs.select("b")).union(crowded.select("id")).distinct(), "near-ends")
+    wanted = bloom(ends.select(F.xxhash64("a").alias("h")), "h", ends.count())
 
     def full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         batch = batch.filter(pa.array(maybe_in(wanted, batch.column("h").to_numpy())))
@@ -192,20 +205,10 @@ def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams())
     items = written(map_batches(texts.withColumn("h", F.xxhash64("id")), full_sets, schema), "sets")
     joined = linked_components(pairs, items, _alike(params.percent), "near")
     joined = crowded_components(joined, crowded, items, _sets_of, params.percent, "near")
-    release(kept)
     # only sets with copies or links need a look-up; other documents are their own components
     groups = found.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     groups = groups.join(joined, "node", "left").filter((F.col("n") > 1) | F.col("root").isNotNull())
-    groups = written(groups.select("f1", "f2", F.coalesce("root", "node").alias("component")), "groups")
-    sets = signed.select("doc_id", "size", "f1", "f2").join(groups, ["f1", "f2"], "left")
-    own = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
-    component = F.coalesce(own, F.col("doc_id"))
-    return sets.select(
-        "doc_id",
-        F.col("size").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-    )
+    return groups.select("f1", "f2", F.coalesce("root", "node").alias("component"))
 
 
 def keep_documents(documents: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:

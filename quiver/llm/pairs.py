@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from quiver.llm.common import held, partitions_for, release, written
 
-#: Bits of a filter that a driver sends to all tasks: 2 MB whatever the input.
-BLOOM_BITS = 1 << 24
+#: Most bits of a filter that a driver sends to all tasks: 8 MB whatever the input.
+BLOOM_BITS = 1 << 26
 
 #: Rows of a sorted order that a task looks at together.
 BLOCK_ROWS = 1 << 15
@@ -28,12 +28,18 @@ BLOCK_ROWS = 1 << 15
 LINK_ROWS = 200_000
 
 #: Rows, and bytes of their items, in one of the two blocks of a crowded region that a task compares.
-BLOCK_ITEMS = 1000
+BLOCK_ITEMS = 2000
 BLOCK_BYTES = 8 << 20
 
 #: A value that more rows of two blocks share is counted by a matrix product, others pair by pair.
 FEW_HOLDERS = 16
 
+#: Pairs of rows with a rare value in common that are looked at one by one; beyond, all pairs are counted by products.
+FEW_PAIRS = 2_000_000
+
+#: Rows of a block that such products take at once.
+TILE = 500
+
 
 @dataclass(frozen=True)
 class NeighbourParams:
@@ -44,7 +50,7 @@ class NeighbourParams:
     always: int = 2  # of those, how many need no more than the least depth in a crowded region
     percent: int | None = None  # least similarity, which bounds the ratio of two sets' sizes, if rows have them
     most_unlike: int | None = None  # bits of the sketches that may differ
-    rows_per_partition: int = 200_000
+    rows_per_partition: int = 400_000
 
 
 def pair_schema() -> T.StructType:
@@ -100,13 +106,14 @@ def neighbour_rows(rows: DataFrame, n_rows: int, keys: list[str], params: Neighb
     ``rows`` has the keys, id, with ``percent`` the set's size, with ``most_unlike`` the sketch s1, s2. A row meets the rows that follow it
     while they share at least ``depth`` units; where more than ``width`` rows do, the depth asked for grows to one at
     which fewer than ``width`` remain, so crowded regions are cut finer than thin ones. Ranges of the sort are tasks;
-    regions at the border of two ranges are taken for crowded. See ``candidate_pairs`` and ``crowded_rows``.
+    regions at the border of two ranges are taken for crowded. Which rows of equal keys follow each other is left open,
+    so the result has to be written before it is read twice. See ``candidate_pairs`` and ``crowded_rows``.
     """
     sketch = ["s1", "s2"] if params.most_unlike is not None else []
     longs_of = ["id", "size"] if params.percent is not None else ["id"]
     schema = T.StructType([T.StructField(x, T.LongType()) for x in ("a", "b", "region")])
     n = partitions_for(rows.sparkSession, n_rows, params.rows_per_partition)
-    ordered = rows.repartitionByRange(n, *keys, "id").sortWithinPartitions(*keys, "id")
+    ordered = rows.repartitionByRange(n, *keys, "id").sortWithinPartitions(*keys)
     width = params.width
 
     def emit(c: dict[str, np.ndarray], stop: int) -> pa.RecordBatch:
@@ -193,22 +200,26 @@ def crowded_rows(met: DataFrame) -> DataFrame:
 # -- a filter of bounded size
 
 
-def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """Words of a Bloom filter over a column of hashed longs. However many keys, it is BLOOM_BITS bits."""
-    low = F.col(column).bitwiseAND(F.lit(BLOOM_BITS - 1))
-    high = F.shiftrightunsigned(column, 24).bitwiseAND(F.lit(BLOOM_BITS - 1))
+def bloom(keys: DataFrame, column: str, n_keys: int) -> np.ndarray:
+    """Words of a Bloom filter over a column of hashed longs: 16 bits a key as far as BLOOM_BITS go.
+
+    A filter that is too small for its keys passes more rows on; what it passes is looked up exactly.
+    """
+    bits = min(BLOOM_BITS, 1 << max(16, (16 * n_keys - 1).bit_length()))
+    low = F.col(column).bitwiseAND(F.lit(bits - 1))
+    high = F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(bits - 1))
     at = keys.select(F.explode(F.array(low, high)).alias("at"))
     bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, np.uint64)
+    out = np.zeros(bits >> 6, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def maybe_in(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each hashed long may be in the filter; never wrong about one that is."""
-    k = keys.view(np.uint64)
-    low, high = k & np.uint64(BLOOM_BITS - 1), (k >> np.uint64(24)) & np.uint64(BLOOM_BITS - 1)
+    k, last = keys.view(np.uint64), np.uint64((len(words) << 6) - 1)
+    low, high = k & last, (k >> np.uint64(32)) & last
     six, rest, one = np.uint64(6), np.uint64(63), np.uint64(1)
     return ((words[low >> six] >> (low & rest)) & (words[high >> six] >> (high & rest)) & one) == one
 
@@ -241,13 +252,14 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def components(links: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node that links join to a smaller id; root: the smallest id that it reaches.
 
-    Each partition of LINK_ROWS links first joins its own. Then, round by round, every node hooks to its smallest neighbour,
+    Each task of about LINK_ROWS links first joins its own. Then, round by round, every node hooks to its smallest neighbour,
     chains of hooks are halved until all point at a root, and the links are drawn between roots. The links that are
     left fall at least by half each round; a round's tables are written, so lost executors cost one round at most.
     """
     schema = T.StructType([T.StructField(x, T.LongType()) for x in ("hi", "lo")])
     links = written(links.select("a", "b"), f"{name}-given")
-    dealt = links.coalesce(partitions_for(links.sparkSession, links.count(), LINK_ROWS))
+    n = partitions_for(links.sparkSession, links.count(), LINK_ROWS)
+    dealt = links.repartition(n) if n > 1 else links.coalesce(1)
     left = written(dealt.mapInArrow(_local_forest, schema).distinct(), f"{name}-links")
     levels: list[DataFrame] = []
     while True:
@@ -367,6 +379,79 @@ def overlaps(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.
     return out
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def common(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values the sets a[k] and b[k] have in common, for each k; values are below 2 ** 32."""
+    out = np.zeros(len(a), np.int64)
+    low = 0
+    for end in np.searchsorted(np.cumsum(sizes[a] + sizes[b]) // 1_000_000, np.arange(1, 2 + (sizes[a] + sizes[b]).sum() // 1_000_000)):
+        x, y = a[low:end], b[low:end]
+        pair = np.arange(len(x), dtype=np.uint64) << np.uint64(32)
+        union = np.concatenate([np.repeat(pair, sizes[z]) | values[spread(starts[z], sizes[z])] for z in (x, y)])
+        union.sort()
+        out[low:end] = np.bincount((union[1:][union[1:] == union[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(x))
+        low = end
+    return out
+
+
+def similar(
+    values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, roots: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i in left, j in right) of sets in different components whose similarity is ``percent`` or more.
+
+    Two such sets have one of their rarest values in common: a set of n values can only miss n - ceil(percent n) of
+    another's, so of its n - ceil(percent n) + 1 rarest ones the other has at least one, and the other way round.
+    Pairs with such a value in common are counted in full. If these are too many, blocks are halved, and small
+    ones counted by matrix products.
+    """
+    everyone = np.unique(np.concatenate([left, right]))
+    if len(everyone) < len(sizes):
+        starts = np.cumsum(sizes) - sizes
+        local = np.zeros(len(sizes), np.int64)
+        local[everyone] = np.arange(len(everyone))
+        i, j = similar(values[spread(starts[everyone], sizes[everyone])], sizes[everyone], local[left], local[right], roots[everyone], percent)
+        return everyone[i], everyone[j]
+    owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    _, at, holders = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.empty(len(holders), np.uint64)
+    rank[np.argsort(holders, kind="stable")] = np.arange(len(holders), dtype=np.uint64)
+    ordered = owner << np.uint64(32) | rank[at]
+    ordered.sort()  # each set's values, rarest first
+    values, starts = ordered & np.uint64(0xFFFFFFFF), np.cumsum(sizes) - sizes
+    first = spread(starts, sizes - -(-percent * sizes // 100) + 1)
+    first = first[np.sort(holders)[values[first].astype(np.int64)] > 1]
+    key, owner = values[first], owner[first].astype(np.int64)
+    on_left, on_right = np.zeros(len(sizes), bool), np.zeros(len(sizes), bool)
+    on_left[left], on_right[right] = True, True
+    x, y = on_left[owner], on_right[owner]
+    order = np.argsort(key[y], kind="stable")
+    there, their = key[y][order], owner[y][order]
+    begin, end = np.searchsorted(there, key[x], "left"), np.searchsorted(there, key[x], "right")
+    if (end - begin).sum() > FEW_PAIRS:
+        if max(len(left), len(right)) > TILE:
+            parts = lambda z: [z[k : k + -(-len(z) // 2)] for k in range(0, len(z), -(-len(z) // 2))] if len(z) > TILE else [z]
+            found = [similar(ordered & np.uint64(0xFFFFFFFF), sizes, a, b, roots, percent) for a in parts(left) for b in parts(right)]
+            return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+        both = overlaps(values, sizes, left, right)
+        fine = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+        fine &= roots[left][:, None] != roots[right][None, :]
+        i, j = np.nonzero(fine)
+        return left[i], right[j]
+    i, j = np.repeat(owner[x], end - begin), their[spread(begin, end - begin)]
+    fine = (roots[i] != roots[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
+    fine &= (i < j) | ~(on_left[j] & on_right[i])  # a block against itself: each pair once
+    pairs = np.unique(i[fine] * len(sizes) + j[fine])
+    i, j = pairs // len(sizes), pairs % len(sizes)
+    both = common(values, starts, sizes, i, j)
+    fine = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+    return i[fine], j[fine]
+
+
 def crowded_components(
     found: DataFrame, crowded: DataFrame, items: DataFrame, sets_of: SetsOf, percent: int, name: str
 ) -> DataFrame:
@@ -416,11 +501,8 @@ def crowded_components(
         left = np.flatnonzero(own == t.column("x")[0].as_py())
         right = np.flatnonzero(own == t.column("y")[0].as_py())
         values, sizes = sets_of(t.column("item").to_pylist())
-        both = overlaps(values, sizes, left, right)
-        fine = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
-        fine &= roots[left][:, None] != roots[right][None, :]
-        i, j = np.nonzero(fine)
-        a, b = roots[left[i]], roots[right[j]]
+        i, j = similar(values, sizes, left, right, roots, percent)
+        a, b = roots[i], roots[j]
         links = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.table([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
 

@@ -113,6 +113,30 @@ def test_overlaps():
     assert all(got[i, j - 30] == len(sets[i] & sets[j]) for i in left for j in right if i != j)
 
 
+@pytest.mark.parametrize("few", [10_000, 50])
+def test_similar_blocks(few, monkeypatch):
+    """Pairs found by rare values, by halving and by products, against all pairs."""
+    monkeypatch.setattr(pairs, "FEW_PAIRS", few)
+    monkeypatch.setattr(pairs, "TILE", 9)
+    rng = np.random.default_rng(2)
+    bases = [rng.integers(0, 1 << 60, 50) for _ in range(6)]
+    sets = []
+    for i in range(60):
+        s = bases[i % 6].copy()
+        s[rng.choice(50, rng.integers(0, 9), replace=False)] = rng.integers(0, 500, 1)
+        sets.append(set(s[: 50 - i % 4].tolist()))
+    values = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
+    sizes, roots_of = np.array([*map(len, sets)]), rng.integers(0, 30, 60)
+    for left, right in ((np.arange(40), np.arange(25, 60)), (np.arange(60), np.arange(60))):
+        i, j = pairs.similar(values, sizes, left, right, roots_of, 80)
+        got = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        want = {
+            (min(a, b), max(a, b)) for a in left.tolist() for b in right.tolist()
+            if roots_of[a] != roots_of[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        }
+        assert got == want and len(want) > 50
+
+
 def test_crowds():
     """Regions of more than ``width`` rows and those at the ends, however the rows come in blocks."""
     regions = np.repeat(np.array([7, 8, 9, 10, 11, 12], np.uint64), [1, 3, 9, 2, 4, 1])
@@ -146,7 +170,7 @@ def test_components(spark, seed, monkeypatch):
 
 def test_bloom(spark):
     keys = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    words = pairs.bloom(keys, "h")
+    words = pairs.bloom(keys, "h", 1000)
     all_keys = spark.range(3000).select("id", F.xxhash64("id").alias("h")).toPandas()
     hit = pairs.maybe_in(words, all_keys["h"].to_numpy())
     assert hit[:1000].all() and hit[1000:].mean() < 0.01

@@ -135,7 +135,7 @@ def test_packing_a_long_run_of_blanks():
     assert packing.Encoder(BYTE).ids(text).tolist() == ids_of(text)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=25))
 def test_any_histogram(histogram):
     params = packing.PackParams(capacity=60, rounds=20)
@@ -175,7 +175,7 @@ def test_plan_against_its_certificate(kind):
     assert used <= 1.01 * sum(counts.values()) + len(histogram)
 
 
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 12), st.integers(1, 4), min_size=1, max_size=4))
 def test_bounds_hold(histogram):
     """Neither bound exceeds the fewest sequences, found by trying every placement."""
