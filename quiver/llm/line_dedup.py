@@ -26,6 +26,7 @@ from xxhash import xxh3_128_digest
 from quiver.llm.common import map_batches, passing, sorted_distinct, texts_of, written
 from quiver.llm.pairs import (
     NeighbourParams,
+    bitmaps,
     bloom,
     candidate_pairs,
     crowded_components,
@@ -34,6 +35,7 @@ from quiver.llm.pairs import (
     maybe_in,
     neighbour_rows,
     spread,
+    unlike,
 )
 
 
@@ -60,13 +62,16 @@ def rolled(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
     Every line has at least n characters. Windows that cross two lines lie between the lines' own.
     """
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    m = len(codes) - n + 1
-    out = np.zeros(m, np.uint64)
-    for k in range(n):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += codes[k : k + m]
+    base, out, width = 0x9E3779B97F4A7C15, codes, 1
+    for bit in bin(n)[3:]:  # windows of twice the width, then of one more
+        out = out[:-width] * np.uint64(pow(base, width, 1 << 64)) + out[width:]
+        width *= 2
+        if bit == "1":
+            out = out[:-1] * np.uint64(base) + codes[width:]
+            width += 1
+    out = out.copy() if n == 1 else out
     out ^= out >> np.uint64(31)
     out *= np.uint64(0x94D049BB133111EB)
     out ^= out >> np.uint64(29)
@@ -159,8 +164,9 @@ HASH_BITS = 53
 def alike(xs: list[str], ys: list[str], params: LineParams) -> np.ndarray:
     """Whether the Jaccard similarity of each pair's sets of character shingles reaches the threshold.
 
-    Sets are of the shingles' 53-bit hashes. A block's sets are sorted together, and so are its pairs' unions, in
-    which what stands twice is common to both.
+    Sets are of the shingles' 53-bit hashes. Pairs whose bitmaps differ in more bits than two such sets may differ in
+    values are out. Of the others in a block the sets are sorted together, and so are the pairs' unions, in which what
+    stands twice is common to both.
     """
     out = np.zeros(len(xs), bool)
     shift, mask = np.uint64(HASH_BITS), np.uint64((1 << HASH_BITS) - 1)
@@ -169,26 +175,32 @@ def alike(xs: list[str], ys: list[str], params: LineParams) -> np.ndarray:
             x, y = xs[low : min(end, low + 1000)], ys[low : min(end, low + 1000)]
             number = {line: i for i, line in enumerate(dict.fromkeys([*x, *y]))}
             hashes, first, counts = rolled([*number], params.shingle)
-            owner = np.repeat(np.arange(len(number), dtype=np.uint64), counts)
-            sets = sorted_distinct(owner << shift | hashes[spread(first, counts)] & mask)
-            starts = np.searchsorted(sets >> shift, np.arange(len(number) + 1, dtype=np.uint64))
-            size = np.diff(starts)
+            hashes = hashes[spread(first, counts)] & mask
             a, b = (np.fromiter(map(number.__getitem__, z), np.int64, len(z)) for z in (x, y))
-            pair = np.arange(len(x), dtype=np.uint64)
+            maps = bitmaps(hashes, counts)
+            near = (100 + params.percent) * unlike(maps[a], maps[b]) <= (100 - params.percent) * (counts[a] + counts[b])
+            near = np.flatnonzero(near)
+            used = np.unique(np.concatenate([a[near], b[near]]))
+            a, b = np.searchsorted(used, a[near]), np.searchsorted(used, b[near])
+            first = np.cumsum(counts) - counts
+            owner = np.repeat(np.arange(len(used), dtype=np.uint64), counts[used])
+            sets = sorted_distinct(owner << shift | hashes[spread(first[used], counts[used])])
+            starts = np.searchsorted(sets >> shift, np.arange(len(used) + 1, dtype=np.uint64))
+            size = np.diff(starts)
+            pair = np.arange(len(near), dtype=np.uint64)
             union = np.concatenate(
                 [np.repeat(pair, size[z]) << shift | sets[spread(starts[z], size[z])] & mask for z in (a, b)]
             )
             union.sort()
-            both = np.bincount((union[1:][union[1:] == union[:-1]] >> shift).astype(np.int64), minlength=len(x))
-            out[low : low + len(x)] = 100 * both >= params.percent * (size[a] + size[b] - both)
+            both = np.bincount((union[1:][union[1:] == union[:-1]] >> shift).astype(np.int64), minlength=len(near))
+            out[low + near] = 100 * both >= params.percent * (size[a] + size[b] - both)
     return out
 
 
-def sets_of(lines: list[str], params: LineParams) -> tuple[np.ndarray, np.ndarray]:
-    """The lines' sets of 53-bit shingle hashes, one after the other, and their sizes."""
+def shingles_of(lines: list[str], params: LineParams) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' 53-bit shingle hashes, one line after the other, and how many each has, repeats included."""
     hashes, first, counts = rolled(lines, params.shingle)
-    sets = [sorted_distinct(hashes[i : i + n] & np.uint64((1 << HASH_BITS) - 1)) for i, n in zip(first, counts, strict=True)]
-    return np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    return hashes[spread(first, counts)] & np.uint64((1 << HASH_BITS) - 1), counts
 
 
 def line_components(documents: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -219,7 +231,7 @@ def line_components(documents: DataFrame, params: LineParams = LineParams()) ->
     texts = texts.groupBy("f1", "f2").agg(F.min("item").alias("item"))
     items = written(needed.join(texts, ["f1", "f2"]).select("id", "item"), "line-texts")
     joined = linked_components(pairs, items, lambda x, y: alike(x, y, params), "lines")
-    joined = crowded_components(joined, crowded, items, lambda x: sets_of(x, params), params.percent, "lines")
+    joined = crowded_components(joined, crowded, items, lambda x: shingles_of(x, params), params.percent, "lines")
     # the distinct lines that occur twice or are linked, by the smallest linked one
     linked = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
     several = distinct.select("id", "f1", "f2", "n").join(linked.withColumnRenamed("node", "id"), "id", "left")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiver.llm.common import held, partitions_for, release, written
+from quiver.llm.common import partitions_for, sorted_distinct, written
 
 #: Most bits of a filter that a driver sends to all tasks: 8 MB whatever the input.
 BLOOM_BITS = 1 << 26
@@ -34,12 +34,15 @@ BLOCK_BYTES = 8 << 20
 #: A value that more rows of two blocks share is counted by a matrix product, others pair by pair.
 FEW_HOLDERS = 16
 
-#: Pairs of rows with a rare value in common that are looked at one by one; beyond, all pairs are counted by products.
-FEW_PAIRS = 2_000_000
-
-#: Rows of a block that such products take at once.
+#: Rows of a block that are compared with the rows of another at once.
 TILE = 500
 
+#: Values of a tile's candidate pairs that are sorted pair by pair; beyond, products count all pairs of the tile.
+FEW_VALUES = 20_000_000
+
+#: Bits of the bitmaps by which most pairs of unlike sets are told apart: four a value, within these bounds.
+MAP_BITS = (1 << 9, 1 << 16)
+
 
 @dataclass(frozen=True)
 class NeighbourParams:
@@ -323,14 +326,12 @@ def linked_components(pairs: DataFrame, items: DataFrame, alike: Alike, name: st
     # a node has a bounded number of pairs: width x 2 in each sorted order
     order = Window.partitionBy("node").orderBy(F.desc("votes"), F.xxhash64("a", "b"), "a", "b")
     top = both.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= first)
-    kept: list[DataFrame] = []
-    top = held(top.select("a", "b").distinct(), kept)
+    top = written(top.select("a", "b").distinct(), f"{name}-first")
     found = components(confirm(top, items, alike), name)
     at = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rest = pairs.join(top, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
     rest = rest.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     more = written(confirm(rest, items, alike), f"{name}-second")
-    release(kept)
     if more.isEmpty():
         return found
     joined = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
@@ -339,12 +340,12 @@ def linked_components(pairs: DataFrame, items: DataFrame, alike: Alike, name: st
 
 # -- crowded regions
 
-#: Items' sets of 64-bit values: all sets' values, one set after the other, and how many each has.
+#: Items' sets of 64-bit values: all items' values, one item after the other, and how many each has. Values may repeat.
 SetsOf = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
 
 def overlaps(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many values each set numbered in ``left`` has in common with each other one in ``right``."""
+    """How many values each set numbered in ``left`` has in common with each other one in ``right``; none repeats."""
     n, shape = len(sizes), (len(left), len(right))
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(values)
@@ -399,56 +400,72 @@ def common(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, a: np.ndar
     return out
 
 
+def bitmaps(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A bitmap of each item's values (items x 64-bit words): bits at the values' low bits."""
+    usual = 4 * int(np.quantile(counts, 0.9)) if len(counts) else 1
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], 1 << usual.bit_length()))
+    out, per = np.zeros((len(counts), bits >> 6), np.uint64), max(1, (1 << 22) // bits)
+    ends = np.cumsum(counts)
+    for low in range(0, len(counts), per):
+        some = counts[low : low + per]
+        at = values[ends[low] - counts[low] : ends[low + len(some) - 1]] & np.uint64(bits - 1)
+        marks = np.zeros(len(some) * bits, bool)
+        marks[np.repeat(np.arange(len(some)) * bits, some) + at.astype(np.int64)] = True
+        out[low : low + per] = np.packbits(marks).view(np.uint64).reshape(len(some), -1)
+    return out
+
+
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits matching bitmaps differ. So many values at least are in one of two sets only."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
 def similar(
-    values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, roots: np.ndarray, percent: int
+    values: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, roots: np.ndarray, percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (i in left, j in right) of sets in different components whose similarity is ``percent`` or more.
 
-    Two such sets have one of their rarest values in common: a set of n values can only miss n - ceil(percent n) of
-    another's, so of its n - ceil(percent n) + 1 rarest ones the other has at least one, and the other way round.
-    Pairs with such a value in common are counted in full. If these are too many, blocks are halved, and small
-    ones counted by matrix products.
+    Two sets of m and n values at most that are so alike differ in (100 - percent) (m + n) / (100 + percent) values at
+    most, and so do their bitmaps, in bits. Pairs that pass this are counted in full.
     """
-    everyone = np.unique(np.concatenate([left, right]))
-    if len(everyone) < len(sizes):
-        starts = np.cumsum(sizes) - sizes
-        local = np.zeros(len(sizes), np.int64)
-        local[everyone] = np.arange(len(everyone))
-        i, j = similar(values[spread(starts[everyone], sizes[everyone])], sizes[everyone], local[left], local[right], roots[everyone], percent)
-        return everyone[i], everyone[j]
-    owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-    _, at, holders = np.unique(values, return_inverse=True, return_counts=True)
-    rank = np.empty(len(holders), np.uint64)
-    rank[np.argsort(holders, kind="stable")] = np.arange(len(holders), dtype=np.uint64)
-    ordered = owner << np.uint64(32) | rank[at]
-    ordered.sort()  # each set's values, rarest first
-    values, starts = ordered & np.uint64(0xFFFFFFFF), np.cumsum(sizes) - sizes
-    first = spread(starts, sizes - -(-percent * sizes // 100) + 1)
-    first = first[np.sort(holders)[values[first].astype(np.int64)] > 1]
-    key, owner = values[first], owner[first].astype(np.int64)
-    on_left, on_right = np.zeros(len(sizes), bool), np.zeros(len(sizes), bool)
-    on_left[left], on_right[right] = True, True
-    x, y = on_left[owner], on_right[owner]
-    order = np.argsort(key[y], kind="stable")
-    there, their = key[y][order], owner[y][order]
-    begin, end = np.searchsorted(there, key[x], "left"), np.searchsorted(there, key[x], "right")
-    if (end - begin).sum() > FEW_PAIRS:
-        if max(len(left), len(right)) > TILE:
-            parts = lambda z: [z[k : k + -(-len(z) // 2)] for k in range(0, len(z), -(-len(z) // 2))] if len(z) > TILE else [z]
-            found = [similar(ordered & np.uint64(0xFFFFFFFF), sizes, a, b, roots, percent) for a in parts(left) for b in parts(right)]
-            return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
-        both = overlaps(values, sizes, left, right)
-        fine = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
-        fine &= roots[left][:, None] != roots[right][None, :]
-        i, j = np.nonzero(fine)
-        return left[i], right[j]
-    i, j = np.repeat(owner[x], end - begin), their[spread(begin, end - begin)]
-    fine = (roots[i] != roots[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
-    fine &= (i < j) | ~(on_left[j] & on_right[i])  # a block against itself: each pair once
-    pairs = np.unique(i[fine] * len(sizes) + j[fine])
-    i, j = pairs // len(sizes), pairs % len(sizes)
-    both = common(values, starts, sizes, i, j)
-    fine = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+    maps, mine = bitmaps(values, counts), np.zeros(len(counts), bool)
+    mine[left] = True
+    both_sides = mine & np.isin(np.arange(len(counts)), right)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for x in (left[k : k + TILE] for k in range(0, len(left), TILE)):
+        for y in (right[k : k + TILE] for k in range(0, len(right), TILE)):
+            bits = np.zeros((len(x), len(y)), np.int32)
+            for w in range(maps.shape[1]):
+                bits += np.bitwise_count(maps[x, w][:, None] ^ maps[y, w][None, :])
+            fine = (100 + percent) * bits <= (100 - percent) * (counts[x][:, None] + counts[y][None, :])
+            fine &= roots[x][:, None] != roots[y][None, :]
+            # where both rows are on both sides, each pair once
+            fine &= (x[:, None] < y[None, :]) | ~(both_sides[x][:, None] & both_sides[y][None, :])
+            i, j = np.nonzero(fine)
+            if len(i):
+                out.append(_counted(values, counts, x, y, i, j, percent))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
+def _counted(
+    values: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x[i], y[j]) that are alike enough, by their full sets."""
+    i, j = x[i], y[j]
+    used = np.unique(np.concatenate([i, j]))
+    starts = np.cumsum(counts) - counts
+    rank = np.unique(values[spread(starts[used], counts[used])], return_inverse=True)[1].astype(np.uint64)
+    owner = np.repeat(np.arange(len(used), dtype=np.uint64), counts[used])
+    sets = sorted_distinct(owner << np.uint64(32) | rank)
+    begin = np.searchsorted(sets >> np.uint64(32), np.arange(len(used) + 1, dtype=np.uint64))
+    sets, sizes, begin = sets & np.uint64(0xFFFFFFFF), np.diff(begin), begin[:-1]
+    a, b = np.searchsorted(used, i), np.searchsorted(used, j)
+    if (sizes[a] + sizes[b]).sum() > FEW_VALUES:
+        left, right = np.unique(a), np.unique(b)
+        both = overlaps(sets, sizes, left, right)[np.searchsorted(left, a), np.searchsorted(right, b)]
+    else:
+        both = common(sets, begin, sizes, a, b)
+    fine = 100 * both >= percent * (sizes[a] + sizes[b] - both)
     return i[fine], j[fine]
 
 
@@ -461,7 +478,6 @@ def crowded_components(
     compared with itself, so a region that is nearly one component costs little. The others' rows and the largest's
     are dealt to blocks by hashes of their ids; a task has two blocks. Regions of the same rows are compared once.
     """
-    kept: list[DataFrame] = []
     roots = found.select(F.col("node").alias("id"), "root")
     rows = crowded.join(roots, "id", "left").select("id", "region", F.coalesce("root", "id").alias("root"))
     by_root = rows.groupBy("region", "root").agg(
@@ -475,7 +491,7 @@ def crowded_components(
     regions = regions.select("r.region", F.col("r.top.root").alias("top"))
     rows = rows.join(regions, "region").select("id", "region", "root", (F.col("root") == F.col("top")).alias("main"))
     sizes = items.select("id", F.octet_length("item").alias("bytes"))
-    rows = held(rows.join(sizes, "id"), kept)
+    rows = written(rows.join(sizes, "id"), f"{name}-crowds")
     # blocks of the other components' rows, then those of the largest one's; all in one where one is enough
     n, size = F.count("*"), F.sum("bytes")
     count = lambda on: F.greatest(
@@ -508,7 +524,6 @@ def crowded_components(
 
     links = rows.groupBy("region", "x", "y").applyInArrow(run, pair_schema())
     more = written(links.distinct(), f"{name}-crowded")
-    release(kept)
     if more.isEmpty():
         return found
     joined = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
