@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiver.llm.common import partitions_for, sorted_distinct, written
+from quiver.llm.common import arrow_rows, partitions_for, sorted_distinct, written
 
 #: Most bits of a filter that a driver sends to all tasks: 8 MB whatever the input.
 BLOOM_BITS = 1 << 26
@@ -402,8 +402,7 @@ def common(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, a: np.ndar
 
 def bitmaps(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A bitmap of each item's values (items x 64-bit words): bits at the values' low bits."""
-    usual = 4 * int(np.quantile(counts, 0.9)) if len(counts) else 1
-    bits = min(MAP_BITS[1], max(MAP_BITS[0], 1 << usual.bit_length()))
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], 1 << int(4 * counts.mean()).bit_length())) if len(counts) else MAP_BITS[0]
     out, per = np.zeros((len(counts), bits >> 6), np.uint64), max(1, (1 << 22) // bits)
     ends = np.cumsum(counts)
     for low in range(0, len(counts), per):
@@ -428,15 +427,16 @@ def similar(
     Two sets of m and n values at most that are so alike differ in (100 - percent) (m + n) / (100 + percent) values at
     most, and so do their bitmaps, in bits. Pairs that pass this are counted in full.
     """
-    maps, mine = bitmaps(values, counts), np.zeros(len(counts), bool)
-    mine[left] = True
-    both_sides = mine & np.isin(np.arange(len(counts)), right)
+    maps, on_left, on_right = bitmaps(values, counts), np.zeros(len(counts), bool), np.zeros(len(counts), bool)
+    on_left[left], on_right[right] = True, True
+    both_sides = on_left & on_right
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for x in (left[k : k + TILE] for k in range(0, len(left), TILE)):
         for y in (right[k : k + TILE] for k in range(0, len(right), TILE)):
-            bits = np.zeros((len(x), len(y)), np.int32)
-            for w in range(maps.shape[1]):
-                bits += np.bitwise_count(maps[x, w][:, None] ^ maps[y, w][None, :])
+            bits = np.zeros((len(x), len(y)), np.int64)
+            step = max(1, (1 << 20) // bits.size)  # words at a time
+            for w in range(0, maps.shape[1], step):
+                bits += unlike(maps[x, None, w : w + step], maps[None, y, w : w + step])
             fine = (100 + percent) * bits <= (100 - percent) * (counts[x][:, None] + counts[y][None, :])
             fine &= roots[x][:, None] != roots[y][None, :]
             # where both rows are on both sides, each pair once
@@ -512,17 +512,34 @@ def crowded_components(
     rows = rows.select("id", "region", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     rows = rows.join(items, "id").select("region", "x", "y", "own", "root", "item")
 
-    def run(t: pa.Table) -> pa.Table:
+    def of_blocks(t: pa.Table) -> pa.RecordBatch:
         own, roots = t.column("own").to_numpy(), t.column("root").to_numpy()
         left = np.flatnonzero(own == t.column("x")[0].as_py())
         right = np.flatnonzero(own == t.column("y")[0].as_py())
-        values, sizes = sets_of(t.column("item").to_pylist())
-        i, j = similar(values, sizes, left, right, roots, percent)
+        values, counts = sets_of(t.column("item").to_pylist())
+        i, j = similar(values, counts, left, right, roots, percent)
         a, b = roots[i], roots[j]
         links = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
 
-    links = rows.groupBy("region", "x", "y").applyInArrow(run, pair_schema())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each pair of blocks, whose rows follow each other, once they are all there."""
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.concat_tables([*([held] if held else []), pa.Table.from_batches([batch])])
+            keys = np.stack([held.column(c).to_numpy() for c in ("region", "x", "y")])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()]
+            for at, end in zip(starts, starts[1:], strict=False):
+                yield of_blocks(held.slice(at, end - at))
+            held = held.slice(starts[-1])
+        if held:
+            yield of_blocks(held)
+
+    arrow_rows(rows.sparkSession)
+    rows = rows.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y")
+    links = rows.mapInArrow(run, pair_schema())
     more = written(links.distinct(), f"{name}-crowded")
     if more.isEmpty():
         return found
