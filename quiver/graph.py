@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiver.functions.predicates import is_structure_endpoint, is_structure_owned
+from quiver.functions.text import dirname
 from quiver.schema import EDGES, NODES, GraphError, NotFound
 
 
@@ -136,6 +137,22 @@ class PropertyGraph:
             self.nodes.filter(F.col("pkg_path") != pkg_path), self.edges.join(gone, "src", "left_anti").select(*self.edges.columns)
         )
 
+    def remove_packages(self, packages: DataFrame) -> PropertyGraph:
+        """The same for all packages of a table (pkg_path), in one pass."""
+        gone = self.nodes.join(packages.select("pkg_path").distinct(), "pkg_path", "left_semi").select(F.col("id").alias("src"))
+        return PropertyGraph(
+            self.nodes.join(packages.select("pkg_path").distinct(), "pkg_path", "left_anti").select(*self.nodes.columns),
+            self.edges.join(gone, "src", "left_anti").select(*self.edges.columns),
+        )
+
+    def packages_below(self, folders: list[str]) -> DataFrame:
+        """The packages (pkg_path) that have files in one of the folders or anywhere below it."""
+        folder = dirname(F.col("file_path"))
+        paths = F.array(*[F.lit(x.rstrip("/")) for x in folders])
+        below = F.exists(paths, lambda x: (folder == x) | folder.startswith(F.concat(x, F.lit("/"))))
+        rows = self.nodes.filter((F.col("file_path") != "") & (F.col("pkg_path") != ""))
+        return rows.filter(below).select("pkg_path").distinct()
+
     def replace_package(self, pkg_path: str, fresh: PropertyGraph) -> PropertyGraph:
         return self.remove_package(pkg_path).add(fresh)
 

@@ -615,7 +615,11 @@ def freshness_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freshness(_states(spark, sf_dir)).select("key", "status", F.size("reasons").cast("long").alias("n_reasons"))
 
 
-@query("SELECT 'stale' AS status", prefix=False)
+@query(
+    f"""SELECT coalesce(max_by(status, CASE status WHEN 'stale' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END), 'unknown') AS status
+FROM ({FRESH_SQL}) AS each_repository""",
+    prefix=False,
+)
 def freshness_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overall(freshness(_states(spark, sf_dir)))
 

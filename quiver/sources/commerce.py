@@ -156,7 +156,7 @@ SQL = """
 WITH RECURSIVE nat AS (SELECT n_nationkey, n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey),
 cust AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS rn FROM customer JOIN nat ON c_nationkey = n_nationkey),
 supp AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS rn FROM supplier JOIN nat ON s_nationkey = n_nationkey),
-nodes AS (
+nodes AS MATERIALIZED (
   SELECT 'workspace:tpch' AS id, 'WORKSPACE' AS type, 'tpch' AS name, '' AS pkg_path, '' AS file_path,
          CAST(0 AS INTEGER) AS line_start, CAST(0 AS INTEGER) AS line_end, '' AS repo_id
   UNION ALL SELECT 'repo:' || r_name, 'REPO', r_name, '', '', 0, 0, r_name FROM region
@@ -176,7 +176,7 @@ nodes AS (
   UNION ALL SELECT DISTINCT 'u/' || user_id, 'GOROUTINE', 'goroutine_U' || user_id, 'tpch/' || r || '/' || n, '', 0, 0, r FROM events JOIN cust ON user_id = c_custkey
   UNION ALL SELECT 'page/' || page_id, 'ROUTE',
             'GET ' || regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '', '', 0, 0, '' FROM pages),
-edges AS (
+edges AS MATERIALIZED (
   SELECT 'workspace:tpch' AS src, 'repo:' || r_name AS dst, 'CONTAINS' AS type, r_name AS repo_id FROM region
   UNION SELECT 'repo:' || r_name, 'repo:' || r_name || ':folder:.', 'CONTAINS', r_name FROM region
   UNION SELECT 'repo:' || r || ':folder:.', 'repo:' || r || ':folder:' || n, 'CONTAINS', r FROM nat

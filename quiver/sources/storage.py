@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ ENGINE_VERSION = "1.0"
 class GraphStore:
     """Tables ``nodes``, ``edges`` and ``meta`` below one folder, in any store that Spark reads.
 
-    A write makes a new generation beside the old one and then moves a pointer to it, so that readers, and a failed
-    write, keep the old tables whole.
+    A write makes a new generation beside the old ones; the newest that is complete is current, so that readers, and a
+    failed write, keep the old tables whole. Writers claim a generation's number by a file that only one can create.
     """
 
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False):
@@ -42,17 +43,39 @@ class GraphStore:
             raise NotFound(f"{self.path} holds no graph")
         return f"{self.path}/gen-{found[-1]}"
 
-    def save(self, graph: PropertyGraph, metadata: list[dict] | None = None) -> None:
-        """Write all tables; edges that lack endpoints are kept. Without metadata, the old one's is carried over."""
+    def _claim(self) -> str:
+        """A new generation's folder, after all that others have begun."""
+        place = self._hadoop(self.path)
+        names = [s.getPath().getName() for s in self._fs.listStatus(place)] if self._fs.exists(place) else []
+        number = max([int(n[4:]) for n in names if n.startswith("gen-") and n[4:].isdigit()], default=0) + 1
+        while True:
+            try:
+                self._fs.create(self._hadoop(f"{self.path}/gen-{number}/_WRITER"), False).close()
+                return f"{self.path}/gen-{number}"
+            except Py4JJavaError as e:
+                if not self._fs.exists(self._hadoop(f"{self.path}/gen-{number}/_WRITER")):
+                    raise GraphError(f"{self.path} can't be written: {e.java_exception}") from e
+                number += 1
+
+    def marked(self, mark: str) -> bool:
+        """Whether the current generation was saved with this mark."""
+        return bool(self._generations()) and self._fs.exists(self._hadoop(f"{self.current()}/_MARK-{mark}"))
+
+    def save(self, graph: PropertyGraph, metadata: list[dict] | None = None, mark: str | None = None) -> None:
+        """Write all tables; edges that lack endpoints are kept. Without metadata, the old one's is carried over.
+
+        ``mark`` is a name that ``marked`` finds while this generation is the current one.
+        """
         if self.read_only:
             raise GraphError("the store is open for reading only")
         found = self._generations()
         old = self.metadata() if metadata is None and found else None
-        place = f"{self.path}/gen-{(found[-1] if found else 0) + 1}"
-        self._fs.delete(self._hadoop(place), True)
+        place = self._claim()
         graph.write(place)
         meta = old if old is not None else metadata_table(self.spark, metadata or [{}])
         meta.write.mode("overwrite").parquet(f"{place}/meta")
+        if mark is not None:
+            self._fs.create(self._hadoop(f"{place}/_MARK-{mark}")).close()
         self._fs.create(self._hadoop(f"{place}/_COMPLETE")).close()
 
     def compact(self, keep: int = 1) -> int:
@@ -109,7 +132,8 @@ class GraphStore:
     def remove(self, *ids: str) -> None:
         """Delete nodes by id; one that is missing is no error."""
         graph = self.load()
-        self.save(PropertyGraph(graph.nodes.filter(~F.col("id").isin(*ids)), graph.edges))
+        gone = self.spark.createDataFrame([(x,) for x in ids], "id string")
+        self.save(PropertyGraph(graph.nodes.join(gone, "id", "left_anti").select(*graph.nodes.columns), graph.edges))
 
 
 def metadata_table(spark: SparkSession, rows: list[dict]) -> DataFrame:

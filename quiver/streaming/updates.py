@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,45 +69,62 @@ class GraphUpdater:
     """Applies debounced updates to a store; a micro-batch makes one new generation, or none if all of it fails.
 
     ``parse`` gives a folder's package path and slice. ``package_of`` names a folder's package when it has no files left.
+    ``folders`` lists the folders with packages at or below a path, ``root`` is the path of the whole repository.
     ``structure`` walks the file system.
     """
 
     def __init__(
         self, store: GraphStore, parse: Slices, package_of: Callable[[str], str], structure: Callable[[], PropertyGraph] | None = None,
-        metadata: Callable[[], list[dict]] | None = None,
+        metadata: Callable[[], list[dict]] | None = None, folders: Callable[[str], list[str]] = lambda path: [path], root: str = "",
     ):
         self.store, self.parse, self.package_of, self.structure, self.metadata = store, parse, package_of, structure, metadata
+        self.folders, self.root = folders, root
         self.failures: list[tuple[str, str]] = []
 
-    def apply(self, updates: DataFrame, batch_id: int = 0) -> None:
-        """One micro-batch of (action, target). A slice that can't be parsed keeps its old rows."""
+    def apply(self, updates: DataFrame, batch_id: int = 0, stream: str | None = None) -> None:
+        """One micro-batch of (action, target), as one plan: old packages go in one pass, all new slices come together.
+
+        A changed file's folder is parsed again, and every package folder of a new tree. A removed path takes all
+        packages that have files below it, and then the whole repository is parsed again; if it had none, only the
+        structure is new. A slice that can't be parsed keeps its old rows. A batch that the stream gives again after it
+        was saved changes nothing.
+        """
+        # a batch's targets are few: each is work for the parser outside Spark
         rows = [(r.action, r.target) for r in updates.select("action", "target").distinct().orderBy("action", "target").collect()]
-        if not rows:
+        mark = None if stream is None else f"{sha256(stream.encode()).hexdigest()[:16]}-{batch_id}"
+        if not rows or (mark is not None and self.store.marked(mark)):
             return
         graph = self.store.load()
-        changed = False
-        for action, target in rows:
-            if action not in (PACKAGE, TREE, REMOVE):
-                continue
+        wanted = dict.fromkeys(t for a, t in rows if a == PACKAGE)
+        wanted |= dict.fromkeys(f for a, t in rows if a == TREE for f in self.folders(t))
+        lost = [t for a, t in rows if a == REMOVE]
+        below = graph.packages_below(lost) if lost else None
+        if below is not None and below.isEmpty():
+            below = None
+        elif below is not None and self.root:
+            wanted |= dict.fromkeys(self.folders(self.root))
+        names, slices = [], []
+        for folder in wanted:
             try:
-                found = self.parse(target)  # before anything is removed
+                found = self.parse(folder)  # before anything is removed
             except (GraphError, OSError, ValueError) as e:
-                self.failures.append((target, str(e)))
+                self.failures.append((folder, str(e)))
                 continue
-            if found is None:
-                graph = graph.remove_package(self.package_of(target))
-            else:
-                graph = graph.replace_package(*found)
-            changed = True
+            names.append(self.package_of(folder) if found is None else found[0])
+            slices += [] if found is None else [found[1]]
+        if names or below is not None:
+            old = graph.nodes.sparkSession.createDataFrame([(x,) for x in names], "pkg_path string")
+            graph = graph.remove_packages(old if below is None else old.union(below))
+            graph = graph.add(PropertyGraph.merged(slices)) if slices else graph
+        elif self.structure is None:
+            return
         if self.structure is not None:
             graph = graph.replace_structure(self.structure())
-            changed = True
-        if changed:
-            self.store.save(graph, self.metadata() if self.metadata else None)
+        self.store.save(graph, self.metadata() if self.metadata else None, mark)
 
 
 def maintain(events: DataFrame, updater: GraphUpdater, checkpoint: str, gap: str = GAP, delay: str = "10 seconds", **trigger) -> StreamingQuery:  # noqa: ANN003
     """Start a stream that keeps the updater's store current. ``delay`` bounds the state of open bursts."""
     bursts = debounced(routed(events.withWatermark("ts", delay)), gap)
-    writer = bursts.writeStream.outputMode("append").foreachBatch(updater.apply).option("checkpointLocation", checkpoint)
+    writer = bursts.writeStream.outputMode("append").foreachBatch(lambda rows, batch: updater.apply(rows, batch, checkpoint)).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

@@ -59,3 +59,44 @@ def test_maintenance(spark, tmp_path):
     assert set(ids(g.nodes)) == {"p.New", "q.F", "bad.F", "folder:."}  # a failed parse keeps the old slice
     assert rows(g.live_edges.select("src", "dst")) == {("q.F", "p.New")}
     assert updater.failures[0][0] == "/r/bad" and store.metadata().first().repo_id == "again"
+
+
+def test_trees_removed_paths_and_replays(spark, tmp_path):
+    """A new tree brings every package below it, a removed path takes every package below it, a batch counts once."""
+    store = GraphStore(spark, f"file://{tmp_path}/store")
+    old = [node(f"{p}.F:FUNC", pkg_path=p, file_path=f"/r/{p}/a.go") for p in ("keep", "x", "x/deep", "xy")]
+    store.save(graph(spark, old, []), [{"repo_id": "r"}])
+    on_disk = {"/r/keep": "keep", "/r/new": "new", "/r/new/a/b": "new/a/b", "/r/new/bad": "new/bad", "/r/xy": "xy"}
+    parsed = []
+
+    def parse(folder):
+        parsed.append(folder)
+        if folder.endswith("bad"):
+            raise ValueError("syntax error")
+        p = on_disk[folder]
+        return p, graph(spark, [node(f"{p}.G:FUNC", pkg_path=p, file_path=f"{folder}/a.go")], [])
+
+    folders = lambda path: sorted(f for f in on_disk if f == path or f.startswith(path + "/"))
+    updater = GraphUpdater(store, parse, lambda f: f.removeprefix("/r/"), folders=folders, root="/r")
+    batch = lambda *rows_of: spark.createDataFrame(rows_of, "action string, target string")
+    updater.apply(batch(("tree", "/r/new")), 0, "one")
+    assert set(ids(store.load().nodes)) == {"keep.F", "x.F", "x/deep.F", "xy.F", "new.G", "new/a/b.G"}
+    assert [f for f, _ in updater.failures] == ["/r/new/bad"]
+    parsed.clear()
+    updater.apply(batch(("tree", "/r/new")), 0, "one")  # the stream gives the batch again
+    assert not parsed
+    updater.apply(batch(("remove", "/r/x")), 1, "one")  # nested packages go, others are parsed again
+    assert set(ids(store.load().nodes)) == {"keep.G", "xy.G", "new.G", "new/a/b.G"}
+    before = store.current()
+    updater.apply(batch(("remove", "/r/nothing")), 2, "one")
+    assert store.current() == before
+
+
+def test_generations_of_two_writers(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/store")
+    store.save(graph(spark, [node("a:FUNC")], []))
+    claimed = store._claim()  # another writer has begun
+    store.save(graph(spark, [node("b:FUNC")], []), mark="m")
+    assert claimed != store.current() and ids(store.load().nodes) == ["b"] and store.marked("m") and not store.marked("n")
+    store.remove("b", "not there")
+    assert ids(store.load().nodes) == []
