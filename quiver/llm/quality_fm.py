@@ -9,7 +9,8 @@ by the sum-of-squares identity. Words are hashed into buckets with the logarithm
 length); statistics of the text's structure and its metadata (``n_chars``) are one-hot bins. Ids, source,
 language and labels are no inputs.
 
-Defined results: a null text scores as an empty one; repeated rows score alike; a missing or null ``n_chars`` has
+Defined results: a null text scores as an empty one; repeated rows score alike; very long texts are read whole;
+of rows or labels that repeat a doc_id the model learns from one, the smallest; a missing or null ``n_chars`` has
 a bin of its own; without labelled rows of both kinds every score is 0.5.
 """
 
@@ -180,7 +181,9 @@ def fit_quality(documents: DataFrame, labels: DataFrame, params: FmParams = FmPa
     chosen = (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
         .filter(F.col("quality").isin(0, 1) & ~in_fold(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("quality"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(params.sample)
     )
 
@@ -189,9 +192,10 @@ def fit_quality(documents: DataFrame, labels: DataFrame, params: FmParams = FmPa
         columns = [batch.column("quality"), pa.array([x.tobytes() for x, _ in found]), pa.array([v.tobytes() for _, v in found])]
         return pa.RecordBatch.from_arrays(columns, ["quality", "at", "value"])
 
-    # the chosen rows number at most params.sample, so they are small enough to broadcast
+    # the chosen rows number at most params.sample, so they are small enough to broadcast; of rows that share an id one counts
+    taken = _with_chars(documents, "doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id")
     rows = map_batches(
-        _with_chars(documents, "doc_id").join(F.broadcast(chosen), "doc_id").select("quality", "text", "n_chars"),
+        taken.agg(F.min(F.struct("quality", "text", "n_chars")).alias("row")).select("row.*"),
         run,
         T.StructType(
             [T.StructField("quality", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in ("at", "value")]

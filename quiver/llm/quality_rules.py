@@ -7,7 +7,8 @@ label, but for lines with words of legal notices, which are boilerplate anywhere
 lines of a mixed document agree with their neighbours.
 
 Defined results: a null or blank text has no words, fails the base rules and isn't kept. Repeated rows are
-judged each on their own. Without labelled rows of both kinds the CRF is untrained and every line is content.
+judged each on their own, very long texts whole; of rows or labels that repeat a doc_id the CRF learns from one, the
+smallest. Without labelled rows of both kinds the CRF is untrained and every line is content.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             1, n < 4, n > 30, symbols > 0, symbols > 0.5, symbols > 1.5, upper > 0.25, upper > 0.6, bang > 0.2,
             bang > 1, bars > 0.1, bars > 0.4, digits > 0.05, digits > 0.3, n > 3 and repeats > 0.4,
             n > 3 and repeats > 0.75, line in seen, line[-1:] not in (b".", b"!", b"?", b":", b'"'),
-            any(w.lower().strip(b".,:;") in NOTICE_WORDS for w in words[:60]) and n < 40, i == 0, i == len(lines) - 1,
+            any(w.lower().strip(b".,:;") in NOTICE_WORDS for w in words) and n < 40, i == 0, i == len(lines) - 1,
         )
         seen.add(line)
     return out, n_words
@@ -216,7 +217,9 @@ def fit_line_labels(documents: DataFrame, labels: DataFrame, params: RuleParams
     chosen = (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
         .filter(F.col("quality").isin(0, 1) & ~in_fold(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("quality"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(params.sample)
     )
     width = len(FEATURES)
@@ -225,9 +228,10 @@ def fit_line_labels(documents: DataFrame, labels: DataFrame, params: RuleParams
         rows = [line_features(t)[0].astype(np.int8).tobytes() for t in texts_of(batch)]
         return pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.binary())], ["quality", "lines"])
 
-    # the chosen rows number at most params.sample, so they are small enough to broadcast
+    # the chosen rows number at most params.sample, so they are small enough to broadcast; of rows that share an id one counts
+    taken = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id")
     rows = map_batches(
-        documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text"),
+        taken.agg(F.min(F.struct("quality", "text")).alias("row")).select("row.*"),
         features,
         T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("lines", T.BinaryType())]),
     ).collect()

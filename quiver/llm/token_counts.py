@@ -1,8 +1,10 @@
 """Token counts: batch encoding inside Arrow functions that return lengths only.
 
 A text is split at ASCII white space, where no token of a tokenizer that drops white space can cross, so that the
-pieces' lengths add up to the text's. Pieces that the worker hasn't met are encoded together, in batches of about
-the same number of bytes; known pieces' lengths come from a bounded memo. A long text is thus never one call.
+pieces' lengths add up to the text's. A long piece (Japanese, base64, code without blanks) is split further where the
+tokenizer's pattern always ends a word: beside an ASCII digit, or between a letter and a mark. Pieces that the worker
+hasn't met are encoded together, in batches of about the same number of bytes; known pieces' lengths come from a
+bounded memo. Only a long run of letters, or of marks, is one call however long it is.
 
 Defined results: a null text counts as an empty one, with 0 bytes and 0 tokens; repeated rows count alike.
 """
@@ -10,6 +12,7 @@ Defined results: a null text counts as an empty one, with 0 bytes and 0 tokens;
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -19,6 +22,27 @@ from pyspark.sql import types as T
 from quiver.llm.common import map_batches, texts_of
 
 
+#: Characters of a piece that is split further, and of its parts, about.
+LONG, PART = 1 << 15, 1 << 13
+
+#: Where a word ends under a pattern of letter runs, single digits and runs of other marks. Both characters are ones that
+#: neither compose with others nor stand in a special string on the two sides of such a place.
+ENDS = re.compile(
+    r"""(?<=[0-9])(?=[A-Za-z0-9])|(?<=[A-Za-z])(?=[0-9.,;:()\[\]{}=+*/_#%&!?"@$^~`\\-])|(?<=[ぁ-ゖァ-ヺ一-鿿])(?=[、。，！？])"""
+)
+
+
+def parts(piece: bytes) -> list[bytes]:
+    """A piece, or, if it is long, parts of it that are encoded each on their own."""
+    if len(piece) <= LONG:
+        return [piece]
+    text, out, at = piece.decode("utf-8"), [], 0
+    while found := ENDS.search(text, at + PART):
+        out.append(text[at : found.start()].encode("utf-8"))
+        at = found.start()
+    return [*out, text[at:].encode("utf-8")]
+
+
 def byte_batches(pieces: Iterable[bytes], n_bytes: int) -> Iterator[list[str]]:
     """Batches of about ``n_bytes``; a larger piece is a batch by itself."""
     batch: list[str] = []
@@ -56,6 +80,7 @@ class LengthEncoder:
         """Bytes and tokens of each text."""
         raw = [(t or "").encode("utf-8") for t in texts]
         words = [x.split() for x in raw]
+        words = [[y for x in w for y in parts(x)] if any(len(x) > LONG for x in w) else w for w in words]
         if len(self.known) > self.memo:
             self.known.clear()
         self.learn(set().union(*words))

@@ -2,7 +2,7 @@
 
 The reader takes compressed bytes in chunks, inflates one member after the other, frames each record by its
 content length, and checks that the record fills its member and that block and payload digests hold. It keeps a
-chunk and the record's headers in memory, never a whole record or archive.
+chunk and the record's headers (of bounded size) in memory, never a whole record or archive.
 
 Pages with equal payloads (by SHA-1 and size) are stored once, at the largest page_id; the others are revisit records
 that carry headers only. Archives lie in the folder that driver and executors share; a task's archives take their
@@ -33,6 +33,9 @@ from pyspark.sql import types as T
 from quiver.llm.common import arrow_rows, scratch, written
 
 CHUNK = 1 << 18
+
+#: Most bytes of a record's headers, and of the HTTP headers in its block.
+MAX_HEADERS = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -131,6 +134,8 @@ class WarcReader:
         def until(mark: bytes) -> bytes:
             nonlocal held
             while (k := held.find(mark)) < 0:
+                if len(held) > MAX_HEADERS:
+                    raise WarcError(f"member at {start} has headers without end")
                 more = next(pieces, None)
                 if more is None:
                     raise WarcError(f"member at {start} ends inside headers")
@@ -161,6 +166,8 @@ class WarcReader:
                 header += part
                 k = header.find(b"\r\n\r\n")
                 if k < 0:
+                    if len(header) > MAX_HEADERS:
+                        raise WarcError(f"record at {start} has HTTP headers without end")
                     continue
                 part, in_header = header[k + 4 :], False
                 found.http = _fields(header[:k].decode("latin-1").partition("\r\n")[2])
@@ -168,7 +175,9 @@ class WarcReader:
             found.payload_bytes += len(part)
             if self.keep_payload:
                 payload.append(part)
-        tail = held + b"".join(pieces)
+        tail = held
+        while len(tail) <= 4 and (more := next(pieces, b"")):
+            tail += more
         if tail != b"\r\n\r\n":
             raise WarcError(f"record at {start} doesn't end with its member")
         found.block_bytes, found.payload_digest = length, sha1_name(payload_hash.digest())

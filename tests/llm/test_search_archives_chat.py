@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 import io
+import tracemalloc
+import zlib
 
 import duckdb
 import numpy as np
@@ -135,6 +137,24 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("size", F.lit("mine"))
 
 
+def test_records_of_unbounded_size_are_refused():
+    """Headers without end and bytes after a record aren't inflated whole."""
+    def member(raw):
+        zipped = zlib.compressobj(9, zlib.DEFLATED, 31)
+        return zipped.compress(raw) + zipped.flush()
+
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n"
+    http = b"WARC/1.1\r\nContent-Type: application/http\r\nContent-Length: 50000000\r\n\r\n"
+    for raw in (head + b"X: " + b"x" * 50_000_000, head + b"\r\nabc\r\n\r\n" + b"y" * 50_000_000, http + b"z" * 50_000_000 + b"\r\n\r\n"):
+        stream = io.BytesIO(member(raw))
+        tracemalloc.start()
+        with pytest.raises(warc.WarcError):
+            [*warc.WarcReader(stream)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20 << 20
+
+
 @pytest.mark.parametrize("least", [0, 5])
 def test_round_trip(spark, least):
     rows = [(1, "u", "same text"), (2, None, "same text"), (9, "u", "same text"), (3, "u", ""), (4, "u", None), (5, "u", "x" * 300_000), (6, "u\n", "é"), (7, "u", "é"), (None, "u", "lonely"), (8, "u", "own")]

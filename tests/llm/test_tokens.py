@@ -74,6 +74,21 @@ def test_memo_is_bounded():
         assert encoder.lengths([t])[1] == [len(word_library.encode(t or "", add_special_tokens=False).ids)]
 
 
+def test_long_pieces():
+    """Long texts without blanks are encoded in parts, with the same count."""
+    import base64
+
+    rng = np.random.default_rng(0)
+    code = "if(x1<=y2&&a.b['s']!=c){d=e+'t';}//it's<|endoftext|>" * 1500
+    prose = "".join(rng.choice(list("日本語のテキスト、です。本文！ガガé"), 60_000))
+    long = [base64.b64encode(rng.bytes(90_000)).decode(), code, prose, "x" * 70_000, "0123456789" * 9000, "Ünï.cö'dé1" * 9000]
+    encoder = token_counts.LengthEncoder(WORD)
+    assert encoder.lengths(long)[1] == [len(word_library.encode(t, add_special_tokens=False).ids) for t in long]
+    sizes = [[*map(len, token_counts.parts(t.encode()))] for t in long]
+    # neither a run of letters nor text whose only marks stand beside letters beyond ASCII has a place that is sure
+    assert [max(s) < 40_000 for s in sizes] == [True, True, True, False, True, False]
+
+
 def test_byte_batches():
     assert [len(b) for b in token_counts.byte_batches([b"aa", b"bb", b"c" * 9, b"d"], 4)] == [2, 1, 1]
 
