@@ -3,28 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only where that is unset and all run on one machine, as in tests, a local folder is made."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quiver-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint below ``spark.checkpoint.dir``; only where that is unset, as in tests, a local folder is made."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """A reliable checkpoint below the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quiver-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder, in files of a good size."""
-    import uuid
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quiver-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/quiver/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(df.sparkSession)}/quiver/{uuid.uuid4().hex}/{name}"
     df.hint("rebalance").write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
