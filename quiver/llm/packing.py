@@ -41,6 +41,7 @@ class PackParams:
     rounds: int = 60  # in which coverage rises from nothing to all, for each rate and to cover
     rates: tuple[float, ...] = (16.0, 4.0, 1.0, 0.25, 0.0625)  # a price falls by exp(-rate) until its length is covered
     slack: float = 0.01  # how much worse than the best one a configuration may be that a round uses
+    loose: float = 0.001  # how much less than 1 a configuration may be worth that is rounded in the stricter ways
     shares: tuple[float | None, ...] = (1.0, 0.9, 0.6, None)  # ways of rounding, of which the best is taken
 
 
@@ -136,8 +137,8 @@ def cover(
     return used, dual, bound
 
 
-def solve(demand: dict[int, int], params: PackParams) -> tuple[dict[Config, float], float]:
-    """Fractional counts of configurations that cover the demand, and a lower bound on how many any packing needs.
+def solve(demand: dict[int, int], params: PackParams) -> tuple[dict[Config, float], float, dict[int, float]]:
+    """Fractional counts of configurations that cover the demand, a lower bound on how many any packing needs, its prices.
 
     Prices start as the lengths themselves, the best ones where nothing need be wasted. Rounds with ever slower
     prices, each from the best found before, only find prices; the last ones cover the demand by them.
@@ -149,8 +150,10 @@ def solve(demand: dict[int, int], params: PackParams) -> tuple[dict[Config, floa
         _, dual, found = cover(need, lengths, prices, rate, False, params)
         if found > bound:
             prices, bound = dual, found
-    used, _, found = cover(need, lengths, prices, params.rates[-1], True, params)
-    return used, max(bound, found)
+    used, dual, found = cover(need, lengths, prices, params.rates[-1], True, params)
+    if found > bound:
+        prices, bound = dual, found
+    return used, bound, dict(zip(lengths.tolist(), prices.tolist(), strict=True))
 
 
 def fill(room: int, left: dict[int, int], lengths: list[int]) -> dict[int, int]:
@@ -216,8 +219,10 @@ def plan(histogram: dict[int, int], params: PackParams) -> list[tuple[Config, in
         out.append((((params.capacity, 1),), full))
     if not demand:
         return out
-    counts, _ = solve(demand, params)
-    ways = [rounded(counts, demand, params.capacity, share) for share in params.shares]
+    counts, _, prices = solve(demand, params)
+    # in a best solution every configuration is worth 1 by the best prices; those made late of what was left aren't
+    tight = {c: n for c, n in counts.items() if sum(prices[x] * k for x, k in c) >= 1 - params.loose}
+    ways = [rounded(x, demand, params.capacity, share) for x in (counts, tight) for share in params.shares]
     return out + min(ways, key=lambda found: sum(times for _, times in found))
 
 

@@ -177,8 +177,11 @@ def test_plan_against_its_certificate(kind):
         "thirds": Counter(rng.integers(200, 500, 20_000).tolist()),
     }[kind]
     params = packing.PackParams()
-    counts, dual = packing.solve(histogram, params)
+    counts, dual, prices = packing.solve(histogram, params)
     # no configuration is worth more than 1 by the dual's prices: no packing of the demand beats its value
+    lengths = np.array(sorted(histogram))
+    assert packing.knapsack(np.array([prices[x] for x in lengths.tolist()]), lengths, 1024)[0][-1] <= 1 + 1e-9
+    assert abs(sum(prices[x] * n for x, n in histogram.items()) - dual) < 1e-6 * dual
     used = sum(times for _, times in packing.plan(histogram, params))
     covered = Counter()
     for config, amount in counts.items():
