@@ -13,6 +13,7 @@ from quiver.analysis.diff import ChangedFile
 from quiver.analysis.freshness import FRESH, RANK, UNKNOWN, freshness, overall, untested_changes
 from quiver.functions.text import canonical_path
 from quiver.graph import PropertyGraph
+from quiver.lineage import cut
 from quiver.operators.ranges import nodes_for_ranges, ranges_of_files, unmatched_files
 from quiver.operators.traversal import blast_radius_depth, check_range
 from quiver.schema import CHANGED_FILES, METADATA, GraphError
@@ -109,9 +110,8 @@ def changed_nodes(graph: PropertyGraph, changed: DataFrame) -> DataFrame:
 
 def impact_rows(graph: PropertyGraph, changed: DataFrame, max_depth: int = 1, max_nodes: int = 100) -> tuple[DataFrame, bool]:
     """Changed nodes at distance 0 and the nodes they impact, by distance and id; and whether the cap cut any off."""
-    touched = changed_nodes(graph, changed)
-    ids = [r.id for r in touched.select("id").collect()]  # the starts of a bounded traversal
-    reached, cut_off = blast_radius_depth(graph, ids, max_depth, max_nodes)
+    touched = cut(changed_nodes(graph, changed))
+    reached, cut_off = blast_radius_depth(graph, touched, max_depth, max_nodes)
     rows = touched.withColumn("distance", F.lit(0)).unionByName(reached.select(*touched.columns, "distance"))
     return rows.select(*SUMMARY, "distance").orderBy("distance", "id"), cut_off
 
@@ -159,12 +159,11 @@ def analyze(graph: PropertyGraph, repos: list[Repo], options: ImpactOptions = Im
         files = files[: o.max_files]
     changed = changed_table(spark, files)
     report.changed_files = [asdict(f) for f in files]
-    touched = changed_nodes(graph, changed).select(*SUMMARY)
-    report.changed_nodes = [r.asDict() for r in touched.collect()]
-    known = spark.createDataFrame([tuple(n[c] for c in SUMMARY) for n in report.changed_nodes], touched.schema)
-    for r in unmatched_files(changed, known).collect():
+    touched = cut(changed_nodes(graph, changed).select(*SUMMARY))
+    report.changed_nodes = [r.asDict() for r in touched.orderBy("id").collect()]
+    for r in unmatched_files(changed, touched).collect():
         report.warnings.append(f"no graph nodes matched changed file {r.path}" + (f" in repo {r.repo_id}" if r.repo_id else ""))
-    reached, cut_off = blast_radius_depth(graph, [n["id"] for n in report.changed_nodes], o.max_depth, o.max_nodes)
+    reached, cut_off = blast_radius_depth(graph, touched, o.max_depth, o.max_nodes)
     report.impacted_nodes = [r.asDict() for r in reached.select(*SUMMARY, "distance").collect()]
     if cut_off:
         report.warnings.append(f"impacted nodes truncated at max_nodes={o.max_nodes}")

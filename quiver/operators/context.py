@@ -103,7 +103,10 @@ def context_sections(graph: PropertyGraph, node_id: str, options: ContextOptions
     cap = F.when(F.col("section") == "dependencies", o.max_dependencies).when(
         F.col("section") == "dependents", o.max_dependents
     ).otherwise(o.max_relations)
-    ranked = rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= cap + 1)
+    # the literal cap lets every task sort out a hub's edges before the shuffle
+    most = max(o.max_dependencies, o.max_dependents, o.max_relations)
+    ranked = rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most + 1)
+    ranked = ranked.filter(F.col("position") <= cap + 1)
     return ranked.select("section", "position", "direction", "edge_type", "id", "type", "name", "distance"), cut_off
 
 

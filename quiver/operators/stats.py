@@ -78,11 +78,11 @@ def statistics(graph: PropertyGraph) -> DataFrame:
 
 
 def in_neighbours(graph: PropertyGraph) -> DataFrame:
-    """dst, sources: who points at each node over dependency edges, in order."""
+    """dst, src: who points at each node over dependency edges, by dst and src; a hub's rows are sorted by many tasks."""
     from quiver.functions.predicates import is_dependency
 
     edges = graph.live_edges.filter(is_dependency(F.col("type")))
-    return edges.groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("sources"))
+    return edges.select("dst", "src").distinct().orderBy("dst", "src")
 
 
 def workspace_totals(graph: PropertyGraph) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiver.functions.predicates import is_call, is_dependency
@@ -11,48 +11,70 @@ from quiver.lineage import cut
 from quiver.schema import GraphError, NotFound
 
 
-def blast_radius_depth(graph: PropertyGraph, ids: list[str], max_depth: int, max_nodes: int) -> tuple[DataFrame, bool]:
+#: Rows that a table made on the driver may have to be broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def blast_radius_depth(
+    graph: PropertyGraph, ids: list[str] | DataFrame, max_depth: int, max_nodes: int
+) -> tuple[DataFrame, bool]:
     """Nodes that reach any of ``ids`` over dependency edges, with their least distance, and whether the cap cut some off.
 
+    ``ids``: a list, ranked as it stands, or a table of the graph's nodes, ranked by id, which stays distributed.
     Under the cap, nodes are kept in the order of discovery: by distance, then by the rank of the first parent that
     finds them, then by id. It counts as cut only if one more node would have been added. ``max_nodes`` of 0 or less
     is no cap. Rows are ordered by distance and id.
     """
     spark = graph.nodes.sparkSession
-    if not ids or max_depth <= 0:
+    given = isinstance(ids, DataFrame)
+    if max_depth <= 0 or not given and not ids:
         return graph.nodes.withColumn("distance", F.lit(1)).limit(0), False
-    graph.require(*ids)
+    if given:
+        start = cut(ids.select("id").distinct())
+        ranked = start.select(F.col("id").alias("dst"), F.col("id").alias("parent_rank"))
+    else:
+        graph.require(*ids)
+        sources = list(dict.fromkeys(ids))
+        start = _local(spark, [(x,) for x in sources], "id string")
+        ranked = _ranks(spark, sources)
     edges = graph.live_edges.filter(is_dependency(F.col("type"))).select("src", "dst")
     if max_nodes <= 0:
-        start = spark.createDataFrame([(x,) for x in dict.fromkeys(ids)], "id string")
         reached = distances(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")), start, max_depth)
         found = graph.nodes.join(reached.filter("distance > 0").select("id", "distance"), "id")
         return found.orderBy("distance", "id"), False
-    sources = list(dict.fromkeys(ids))
-    seen = dict.fromkeys(sources, 0)
-    frontier, truncated = sources, False
+    found: dict[str, int] = {}  # at most max_nodes
+    truncated = False
     for depth in range(1, max_depth + 1):
-        # the frontier holds the given ids or at most max_nodes, so it and what was seen are small
-        ranked = spark.createDataFrame([(x, i) for i, x in enumerate(frontier)], "dst string, parent_rank int")
-        known = spark.createDataFrame([(x,) for x in seen], "src string")
-        new = edges.join(F.broadcast(ranked), "dst").join(F.broadcast(known), "src", "left_anti")
+        new = edges.join(ranked, "dst").join(start.withColumnRenamed("id", "src"), "src", "left_anti")
+        if found:
+            new = new.join(_local(spark, [(x,) for x in found], "src string"), "src", "left_anti")
         new = new.groupBy("src").agg(F.min("parent_rank").alias("parent_rank")).orderBy("parent_rank", "src")
-        room = max_nodes - (len(seen) - len(sources))
+        room = max_nodes - len(found)
         rows = [r.src for r in new.limit(room + 1).collect()]
         truncated = len(rows) > room
         frontier = rows[:room]
-        seen |= dict.fromkeys(frontier, depth)
+        found |= dict.fromkeys(frontier, depth)
         if truncated or not frontier:
             break
-    found = [(x, d) for x, d in seen.items() if d]
-    reached = F.broadcast(spark.createDataFrame(found, "id string, distance int"))
+        ranked = _ranks(spark, frontier)
+    reached = _local(spark, list(found.items()), "id string, distance int")
     return graph.nodes.join(reached, "id").orderBy("distance", "id"), truncated
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's rows, broadcast where they are few."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+
+
+def _ranks(spark: SparkSession, ids: list[str]) -> DataFrame:
+    return _local(spark, [(x, i) for i, x in enumerate(ids)], "dst string, parent_rank int")
+
+
 def distances(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """id, distance, via of all that ``start`` (id) reaches over edges (a, b). via: the smallest predecessor; starts have none.
 
-    Frontiers stay distributed; each level is a checkpoint, so lineage doesn't grow.
+    Frontiers stay distributed; each level is a written table, so lineage doesn't grow.
     """
     frontier = cut(start.select("id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("via")).distinct())
     seen, depth = frontier, 0

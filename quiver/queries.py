@@ -125,7 +125,7 @@ def search_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT dst, count(DISTINCT src) AS n_sources, min(src) AS first_source FROM edges WHERE type IN {DEP} GROUP BY dst")
 def in_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stats.in_neighbours(graph_of(spark, sf_dir))
-    return rows.select("dst", F.size("sources").cast("long").alias("n_sources"), F.col("sources")[0].alias("first_source"))
+    return rows.groupBy("dst").agg(F.count("*").alias("n_sources"), F.min("src").alias("first_source"))
 
 
 # -- traversals

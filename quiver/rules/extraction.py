@@ -160,13 +160,23 @@ def channel_flow(flows: DataFrame, edges: DataFrame) -> DataFrame:
 def implements(methods: DataFrame, interface_methods: DataFrame) -> DataFrame:
     """src, dst: types whose method sets hold every method of a non-empty interface; relational division.
 
-    The interface's size travels with its methods, so one join and one count decide.
+    Only types that have an interface's rarest method are candidates, so a method that most types have is never joined
+    with all interfaces that want it; the other methods are counted for candidates alone.
     """
-    wanted = interface_methods.select("interface", "name", "signature").distinct()
-    sizes = wanted.groupBy("interface").agg(F.count("*").alias("size"))
-    has = methods.select("type", "name", "signature").distinct().join(wanted.join(sizes, "interface"), ["name", "signature"])
-    full = has.filter(F.col("type") != F.col("interface")).groupBy("type", "interface", "size").agg(F.count("*").alias("n"))
-    return full.filter(F.col("n") == F.col("size")).select(F.col("type").alias("src"), F.col("interface").alias("dst"))
+    method = ["name", "signature"]
+    wanted = interface_methods.select("interface", *method).distinct()
+    has = methods.select("type", *method).distinct()
+    holders = wanted.join(has.groupBy(method).agg(F.count("*").alias("holders")), method, "left")
+    rarest = F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), *method)).alias("rarest")
+    probes = holders.groupBy("interface").agg(F.count("*").alias("size"), rarest).filter("rarest.holders > 0")
+    probes = probes.select("interface", "size", "rarest.name", "rarest.signature")
+    candidates = probes.join(has, method).filter(F.col("type") != F.col("interface")).select("type", "interface", "size", *method)
+    rest = wanted.join(probes.select("interface", *[F.col(c).alias("r_" + c) for c in method]), "interface")
+    rest = rest.filter((F.col("name") != F.col("r_name")) | (F.col("signature") != F.col("r_signature"))).select("interface", *method)
+    held = candidates.filter("size > 1").drop(*method).join(rest, "interface").join(has, ["type", *method], "left_semi")
+    full = held.groupBy("type", "interface", "size").agg(F.count("*").alias("n")).filter("n = size - 1")
+    found = candidates.filter("size = 1").select("type", "interface").unionByName(full.select("type", "interface"))
+    return found.select(F.col("type").alias("src"), F.col("interface").alias("dst"))
 
 
 def route_rules(routes: DataFrame) -> tuple[DataFrame, DataFrame]:

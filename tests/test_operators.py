@@ -235,3 +235,18 @@ def test_random_graphs(spark, seed):
             if b == x and kinds[a] in ("GOROUTINE", "CHANNEL") and (t in ("SPAWNS", "SENDS_TO", "RECEIVES_FROM") or (t == "CALLS" and kinds[a] == "GOROUTINE")):
                 want.add(("inbound", a, b, t))
         assert rows(concurrency.concurrency_graph(g, x).select("direction", "src", "dst", "edge_type")) == want
+
+
+def test_blast_radius_from_a_table_of_nodes(spark):
+    """A table of starts gives what the list of its ids in order gives, for every cap."""
+    rng = random.Random(5)
+    names = [f"n{i:02}" for i in range(30)]
+    g = graph(spark, [f"{x}:FUNC" for x in names], sorted({f"{rng.choice(names)} -CALLS-> {rng.choice(names)}" for _ in range(70)}))
+    starts = g.nodes.filter("id in ('n03', 'n11', 'n20')")
+    for cap in (0, 1, 5, 100):
+        by_list = traversal.blast_radius_depth(g, ["n03", "n11", "n20"], 3, cap)
+        by_table = traversal.blast_radius_depth(g, starts, 3, cap)
+        assert [(x.id, x.distance) for x in by_table[0].collect()] == [(x.id, x.distance) for x in by_list[0].collect()]
+        assert by_table[1] == by_list[1]
+    nothing, was_cut = traversal.blast_radius_depth(g, starts.limit(0), 3, 5)
+    assert nothing.count() == 0 and not was_cut

@@ -91,3 +91,12 @@ def test_filesystem(spark, tmp_path):
     assert filesystem.module_root(str(tmp_path / "pkg" / "sub")) == filesystem.module_root(root) == str(tmp_path / "pkg")
     top = filesystem.hierarchy(spark, "w", ["b", "a"])
     assert rows(top.edges.select("src", "dst")) >= {("workspace:w", "repo:a"), ("repo:a", "repo:a:folder:.")}
+
+
+def test_implements_with_a_method_that_all_have(spark):
+    """Against brute force: a popular method beside rare ones, interfaces of one method, and one that nobody fulfils."""
+    sets = {f"T{i}": {"String"} | {f"m{k}" for k in range(2, 6) if i % k == 0} for i in range(60)}
+    wants = {f"I{j}": {"String", f"m{2 + j % 4}", f"m{2 + j % 3}"} for j in range(12)} | {"S": {"String"}, "N": {"String", "none"}}
+    methods = spark.createDataFrame([(t, m, "()") for t, ms in sets.items() for m in ms], "type string, name string, signature string")
+    wanted = spark.createDataFrame([(i, m, "()") for i, ms in wants.items() for m in ms], "interface string, name string, signature string")
+    assert rows(implements(methods, wanted)) == {(t, i) for t, ms in sets.items() for i, ws in wants.items() if ws <= ms}
