@@ -3,8 +3,7 @@
 Every line is labelled content or boilerplate by Viterbi decoding; the share of a document's words that
 stand in content lines decides whether it is kept. The CRF's weights are learnt by maximum likelihood
 (forward-backward, gradient ascent) from a bounded sample of labelled documents whose lines take the document's
-label, but for lines with words of legal notices, which are boilerplate anywhere; the chain then sorts out which
-lines of a mixed document agree with their neighbours.
+label; the chain then sorts out which lines of a mixed document agree with their neighbours. No list of words takes part.
 
 Defined results: a null or blank text has no words, fails the base rules and isn't kept. Repeated rows are
 judged each on their own, very long texts whole; of rows or labels that repeat a doc_id the CRF learns from one, the
@@ -25,15 +24,10 @@ from quiver.llm.common import SYMBOLS, in_fold, map_batches, texts_of
 
 CONTENT, BOILERPLATE = 0, 1
 
-#: Words that legal and navigation lines are made of.
-NOTICE_WORDS = frozenset(
-    b"license licensed licence copyright cookie cookies privacy rights reserved terms subscribe login menu".split()
-)
-
 FEATURES = (
     "one", "under_4_words", "over_30_words", "some_symbols", "many_symbols", "most_words_symbols", "some_upper",
     "most_upper", "some_bang", "most_bang", "some_bars", "most_bars", "some_digits", "many_digits", "repeats_words",
-    "mostly_repeats", "equals_earlier_line", "no_end_mark", "notice_words", "first_line", "last_line",
+    "mostly_repeats", "equals_earlier_line", "no_end_mark", "first_line", "last_line",
 )
 
 
@@ -48,7 +42,7 @@ class RuleParams:
     steps: int = 120
     rate: float = 0.5
     l2: float = 1e-3
-    l2_transition: float = 0.1  # holds the chain's stickiness back, or one notice would turn a short document
+    l2_transition: float = 0.1  # holds the chain's stickiness back, or one odd line would turn a short document
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -108,7 +102,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             1, n < 4, n > 30, symbols > 0, symbols > 0.5, symbols > 1.5, upper > 0.25, upper > 0.6, bang > 0.2,
             bang > 1, bars > 0.1, bars > 0.4, digits > 0.05, digits > 0.3, n > 3 and repeats > 0.4,
             n > 3 and repeats > 0.75, line in seen, line[-1:] not in (b".", b"!", b"?", b":", b'"'),
-            any(w.lower().strip(b".,:;") in NOTICE_WORDS for w in words) and n < 40, i == 0, i == len(lines) - 1,
+            i == 0, i == len(lines) - 1,
         )
         seen.add(line)
     return out, n_words
@@ -160,7 +154,7 @@ class Crf:
 
     @classmethod
     def fit(cls, docs: list[np.ndarray], labels: list[int], params: RuleParams) -> Crf:
-        """Maximum likelihood with an L2 penalty; lines carry their document's label, notices are boilerplate.
+        """Maximum likelihood with an L2 penalty; lines carry their document's label.
 
         Documents weigh the same however many lines they have, and both kinds weigh the same in all.
         """
@@ -175,7 +169,7 @@ class Crf:
         owner = np.repeat(np.arange(len(pairs)), sizes)
         weight = np.where(gold == 1, 0.5 / (gold == 1).sum(), 0.5 / (gold == 0).sum()) / sizes
         live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]))]
-        line_gold = np.where(features[:, FEATURES.index("notice_words")] > 0, BOILERPLATE, gold[owner])
+        line_gold = gold[owner]
         one_hot = np.eye(2)[line_gold]
         inner = np.ones(len(features), bool)
         inner[starts[:-1]] = False
