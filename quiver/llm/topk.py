@@ -7,8 +7,10 @@ others, the leading coordinates' partial sum plus the product of the residual le
 pairs whose bound reaches the k-th best are computed exactly, in integers. The longest vectors of the whole table
 give every task its first thresholds. Rotation and sample affect speed, never results.
 
-Queries go in blocks of a fixed size, each a pass over all vectors whose results are written before the next, so
-that neither the driver nor a task ever holds more than one block.
+Queries go in blocks of a fixed size; several blocks are under way at a
+time, each a pass whose results are written, so that the driver holds a fixed number of blocks and a task one. A pass
+reads only vectors that are long enough for some query of its block: the least length is a filter on the scan, and as
+files are ranges of lengths, those of shorter vectors aren't read.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part, nor do rows without an
 id; shorter vectors count as padded with zeros. A query has every row with another id as candidate; rows that repeat
@@ -19,6 +21,7 @@ scores saturate at the ends of a long.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +40,7 @@ class TopkParams:
     k: int = 10
     scale: int = 1024
     block: int = 2048  # queries in a pass
+    passes: int = 4  # under way at a time
     head: int = 2048  # longest vectors, for first thresholds
     sample: int = 4096  # vectors that the rotation is fitted on
     leading: int = 24  # rotated coordinates in the first bound
@@ -173,19 +177,48 @@ def top_k(vectors: DataFrame, is_query: Column, params: TopkParams = TopkParams(
     head_ids, head_v = head.column("vec_id").to_numpy(), _matrix(head.column("v").combine_chunks(), width)
     asked = written(base.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     path = scratch(spark, "found")
-    spark.createDataFrame([], PAIRS).withColumn("rank", F.lit(0)).write.parquet(path)
+    spark.createDataFrame([], PAIRS).withColumn("rank", F.lit(0)).write.parquet(f"{path}/pass=-1")
+
+    def search(nth: int, ids: np.ndarray, q: np.ndarray) -> None:
+        least = first_thresholds(ids, q, head_ids, head_v, params.k)
+        long_enough = base.filter(F.col("norm") >= least_length(q, least))
+        _scan(long_enough, ids, q, least, turn, params).write.parquet(f"{path}/pass={nth}")
+
+    with ThreadPoolExecutor(params.passes) as pool:
+        under_way: set[Future] = set()
+        for nth, (ids, q) in enumerate(_blocks(asked, width, params)):
+            under_way.add(pool.submit(search, nth, ids, q))
+            if len(under_way) >= params.passes:
+                done, under_way = wait(under_way, return_when=FIRST_COMPLETED)
+                for each in done:
+                    each.result()
+        for each in under_way:
+            each.result()
+    found = spark.read.schema(T.StructType([*PAIRS.fields, T.StructField("rank", T.IntegerType())])).parquet(path)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _blocks(asked: DataFrame, width: int, params: TopkParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The queries by id, a block at a time."""
     after = None
     while True:
         left = asked if after is None else asked.filter(F.col("vec_id") > after)
         block = left.orderBy("vec_id").limit(params.block).toArrow()  # of bounded size
         if not block.num_rows:
-            break
-        ids, q = block.column("vec_id").to_numpy(), _matrix(block.column("v").combine_chunks(), width)
+            return
+        ids = block.column("vec_id").to_numpy()
+        yield ids, _matrix(block.column("v").combine_chunks(), width)
         after = int(ids[-1])
-        _scan(base, ids, q, first_thresholds(ids, q, head_ids, head_v, params.k), turn, params).write.mode(
-            "append"
-        ).parquet(path)
-    return spark.read.parquet(path).select("query_id", "rank", "vec_id", "score")
+
+
+def least_length(q: np.ndarray, least: np.ndarray) -> float:
+    """No vector shorter than this has an inner product of ``least`` or more with its row of q (Cauchy-Schwarz)."""
+    norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+    need = least.astype(np.float64) - 1e-3
+    if (need <= 0).any() or not len(q):
+        return 0.0
+    # a query without length has only scores of 0, so its threshold isn't above 0
+    return float((need / norm).min() * (1 - 1e-9))
 
 
 def _scan(base: DataFrame, ids: np.ndarray, q: np.ndarray, least: np.ndarray, turn: np.ndarray, params: TopkParams) -> DataFrame:

@@ -80,6 +80,20 @@ def test_top_k_awkward_rows(spark):
     assert [r[2] for r in got] == [1, 2, 0, 1] and all(r[3] == 2**63 - 1 for r in got)  # saturated, so ties go by id
 
 
+def test_least_length_prunes_no_answer(spark):
+    """Vectors of lengths from 1 to 10,000: most are too short for any query, and blocks of 3 queries run side by side."""
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(size=8) * 10 ** rng.uniform(-3, 1)).astype(np.float32).tolist()) for i in range(400)]
+    want = brute_top(rows, lambda i: i % 5 == 0, 4)
+    assert found(vectors(spark, rows), topk.TopkParams(k=4, block=3, head=40, rows_per_partition=50)) == sorted(want)
+    q = np.floor(np.array([v for i, v in rows if i % 5 == 0], np.float64) * 1024).astype(np.int64)
+    v = np.floor(np.array([v for _, v in rows], np.float64) * 1024).astype(np.int64)
+    least = np.sort(q @ v.T, axis=1)[:, -5]
+    length = topk.least_length(q, least)
+    assert length > 0 and not ((np.sqrt((v**2).sum(1)) < length)[None] & (q @ v.T >= least[:, None])).any()
+    assert topk.least_length(q, np.full(len(q), topk.LONG.min)) == 0
+
+
 def test_pruning_prunes():
     rng = np.random.default_rng(0)
     v = np.floor(rng.normal(size=(4000, 16)) * rng.pareto(1.0, (4000, 1)) * 100).astype(np.int64)
