@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiver.analysis.freshness import freshness, overall
 from quiver.analysis.impact import impact_rows
-from quiver.graph import PropertyGraph, merge_edges, merge_nodes
-from quiver.lineage import stored
+from quiver.graph import PropertyGraph, merge_edges, merge_nodes, with_defaults
+from quiver.lineage import shared_folder, stored
 from quiver.operators import concurrency, context, neighbours, ranges, stats, structure, traversal
 from quiver.plans.compiler import cypher
+from quiver.rules import extraction as rules
 from quiver.rules.extraction import channel_flow, implements
-from quiver.schema import CHANGED_FILES, EDGES, FILE_RANGES, METADATA
+from quiver.schema import CHANGED_FILES, EDGES, FILE_RANGES, METADATA, NODES
 from quiver.sinks.export import dot_lines, json_rows, mermaid_lines
 from quiver.sources import filesystem
 from quiver.sources.commerce import SQL, Commerce, commerce_graph
 from quiver.sources.packages import selected
+from quiver.sources.storage import GraphStore
 from quiver.streaming.updates import debounced, routed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -648,3 +651,286 @@ def routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.concat(F.lit("/r/"), "event_type", name).alias("path"), op.alias("op"), F.lit(False).alias("is_dir"), "ts"
     )
     return routed(events).select("event_id", "action", "target")
+
+
+# -- rules over facts that the tables stand for: suppliers and parts as types, orders as methods, events as statements
+
+
+def _text(prefix: str, *columns: str) -> Column:
+    return F.concat(F.lit(prefix), *[F.col(c).cast("string") for c in columns])
+
+
+PACKAGES_SQL = "WITH pk AS (SELECT 'lib/' || n_name AS pkg_path, n_name AS name, n_nationkey % 3 <> 0 AS internal FROM nation) "
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Commerce(spark, sf_dir).nation.select(
+        _text("lib/", "n").alias("pkg_path"), F.col("n").alias("name"), (F.col("n_nationkey") % 3 != 0).alias("internal")
+    )
+
+
+def _internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packages(spark, sf_dir).filter("internal")
+
+
+@query(PACKAGES_SQL + "SELECT pkg_path AS id, CASE WHEN internal THEN 'PACKAGE' ELSE 'BOUNDARY' END AS type, name, pkg_path FROM pk", prefix=False)
+def rule_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.package_nodes(_packages(spark, sf_dir)).select("id", "type", "name", "pkg_path")
+
+
+FILES_SQL = PACKAGES_SQL + """, f AS (SELECT DISTINCT 'lib/' || n_name AS pkg_path, '/src/' || n_name || '/' || c_mktsegment || '.go' AS path, c_mktsegment || '.go' AS name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey) """
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/src/"), "n", F.lit("/"), "c_mktsegment", F.lit(".go"))
+    return Commerce(spark, sf_dir).customer.select(_text("lib/", "n").alias("pkg_path"), path.alias("path")).distinct()
+
+
+@query(FILES_SQL + "SELECT path AS id, name, pkg_path, path AS file_path FROM f", prefix=False)
+def rule_file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.file_rules(_files(spark, sf_dir))[0].select("id", "name", "pkg_path", "file_path")
+
+
+@query(FILES_SQL + "SELECT pkg_path AS src, path AS dst, 'CONTAINS' AS type FROM f", prefix=False)
+def rule_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.file_rules(_files(spark, sf_dir))[1].select("src", "dst", "type")
+
+
+IMPORTS_SQL = PACKAGES_SQL + """, i AS (SELECT DISTINCT 's/' || l_suppkey AS file, CASE WHEN l_partkey % 4 = 0 THEN 'ext/v' || (l_partkey % 50) ELSE 'lib/' || n_name END AS pkg_path
+  FROM lineitem JOIN nation ON l_partkey % 25 = n_nationkey) """
+
+
+def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Commerce(spark, sf_dir)
+    rows = t.lineitem.join(F.broadcast(t.nation), F.col("l_partkey") % 25 == F.col("n_nationkey"))
+    outside = F.concat(F.lit("ext/v"), F.col("l_partkey") % 50)
+    path = F.when(F.col("l_partkey") % 4 == 0, outside).otherwise(_text("lib/", "n"))
+    return rows.select(_text("s/", "l_suppkey").alias("file"), path.alias("pkg_path"))
+
+
+@query(IMPORTS_SQL + "SELECT file AS src, pkg_path AS dst, 'IMPORTS' AS type FROM i", prefix=False)
+def rule_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.import_edges(_imports(spark, sf_dir)).select("src", "dst", "type")
+
+
+@query(
+    IMPORTS_SQL + "SELECT DISTINCT pkg_path AS id, 'BOUNDARY' AS type, split_part(pkg_path, '/', 2) AS name FROM i "
+    "WHERE pkg_path NOT IN (SELECT pkg_path FROM pk WHERE internal)", prefix=False,
+)
+def rule_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.boundary_nodes(_imports(spark, sf_dir), _internal(spark, sf_dir)).select("id", "type", "name")
+
+
+DECLS_SQL = """WITH d AS (
+  SELECT 'p/' || p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'INTERFACE' WHEN 1 THEN 'TYPE_ALIAS' WHEN 2 THEN 'CONSTANT' WHEN 3 THEN 'VARIABLE' ELSE 'STRUCT' END AS kind,
+         CASE WHEN p_partkey % 10 = 3 THEN '_' ELSE p_name END AS name, p_brand || '.go' AS file, p_size AS line, '' AS owner FROM part
+  UNION ALL SELECT 'o/' || o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'FUNC' ELSE 'METHOD' END, o_orderpriority, 'o.go', o_orderkey % 100 + 1,
+         CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'p/' || (o_orderkey % (SELECT count(*) FROM part)) END FROM orders) """
+
+
+def _decls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Commerce(spark, sf_dir)
+    k, o = F.col("p_partkey"), F.col("o_orderkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("INTERFACE", "TYPE_ALIAS", "CONSTANT", "VARIABLE", "STRUCT")]), (k % 5 + 1).cast("int"))
+    parts = t.part.select(
+        _text("p/", "p_partkey").alias("id"), kind.alias("kind"), F.when(k % 10 == 3, "_").otherwise(F.col("p_name")).alias("name"),
+        F.concat("p_brand", F.lit(".go")).alias("file"), F.col("p_size").cast("long").alias("line"), F.lit("").alias("owner"),
+    )
+    owner = F.concat(F.lit("p/"), (o % t.part.count()).cast("string"))
+    orders = t.orders.select(
+        _text("o/", "o_orderkey").alias("id"), F.when(o % 3 == 0, "FUNC").otherwise("METHOD").alias("kind"), F.col("o_orderpriority").alias("name"),
+        F.lit("o.go").alias("file"), (o % 100 + 1).alias("line"), F.when(o % 3 == 0, "").otherwise(owner).alias("owner"),
+    )
+    return parts.unionByName(orders).withColumns({"pkg_path": F.lit("lib"), "end_line": F.col("line") + 2})
+
+
+@query(DECLS_SQL + "SELECT id, kind AS type, name, file AS file_path, CAST(line AS BIGINT) AS first, CAST(line + 2 AS BIGINT) AS last FROM d WHERE name <> '_'", prefix=False)
+def rule_declaration_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = rules.declaration_rules(_decls(spark, sf_dir))[0]
+    return nodes.select("id", "type", "name", "file_path", F.col("line_start").cast("long").alias("first"), F.col("line_end").cast("long").alias("last"))
+
+
+@query(
+    DECLS_SQL + """, n AS (SELECT * FROM d WHERE name <> '_')
+SELECT n.file AS src, n.id AS dst FROM n LEFT JOIN n o ON n.owner = o.id WHERE o.kind IS DISTINCT FROM 'INTERFACE'
+UNION ALL SELECT owner, id FROM n WHERE owner <> ''""", prefix=False,
+)
+def rule_declaration_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files contain what they declare, but for an interface's methods; a method's type contains it."""
+    return rules.declaration_rules(_decls(spark, sf_dir))[1].select("src", "dst")
+
+
+USES_SQL = PACKAGES_SQL + """, u AS (SELECT 'k' || l_suppkey % 40 AS src, 'k' || l_partkey % 40 AS dst, 'lib/' || n_name AS pkg, l_linenumber AS line, l_suppkey AS col,
+  CASE l_linenumber % 3 WHEN 0 THEN 'type' WHEN 1 THEN 'literal' ELSE 'init' END AS how FROM lineitem JOIN nation ON l_partkey % 25 = n_nationkey),
+i AS (SELECT * FROM u WHERE src <> dst AND pkg IN (SELECT pkg_path FROM pk WHERE internal)) """
+
+
+@query(
+    USES_SQL + """SELECT src, dst, type, CAST(sum(places) AS BIGINT) AS places FROM (
+  SELECT DISTINCT src, dst, 'REFERENCES' AS type, 0 AS places FROM i WHERE how <> 'literal'
+  UNION ALL SELECT src, dst, t, 1 FROM i, (VALUES ('REFERENCES'), ('INSTANTIATES')) AS v(t) WHERE how = 'literal') GROUP BY ALL""", prefix=False,
+)
+def rule_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of types and initialisers once, literals with every place; none to oneself or outside."""
+    t = Commerce(spark, sf_dir)
+    rows = t.lineitem.join(F.broadcast(t.nation), F.col("l_partkey") % 25 == F.col("n_nationkey"))
+    how = F.element_at(F.array(F.lit("type"), F.lit("literal"), F.lit("init")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    uses = rows.select(
+        F.concat(F.lit("k"), F.col("l_suppkey") % 40).alias("src"), F.concat(F.lit("k"), F.col("l_partkey") % 40).alias("dst"),
+        _text("lib/", "n").alias("dst_pkg"), how.alias("how"), F.lit("u.go").alias("file"),
+        F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("column"),
+    )
+    edges = rules.use_edges(uses, _internal(spark, sf_dir))
+    return edges.groupBy("src", "dst", "type").agg(F.sum(F.size("occurrences")).alias("places"))
+
+
+CALLS_SQL = PACKAGES_SQL + """, c AS (SELECT 'o/' || l_orderkey AS src, 'p/' || l_partkey AS dst, 'lib/' || n_name AS pkg, 'P' || l_partkey AS name, l_linenumber AS line, l_suppkey AS col
+  FROM lineitem JOIN nation ON l_partkey % 25 = n_nationkey) """
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = Commerce(spark, sf_dir)
+    rows = t.lineitem.join(F.broadcast(t.nation), F.col("l_partkey") % 25 == F.col("n_nationkey"))
+    calls = rows.select(
+        _text("o/", "l_orderkey").alias("src"), _text("p/", "l_partkey").alias("dst"), _text("lib/", "n").alias("dst_pkg"),
+        _text("P", "l_partkey").alias("dst_name"), F.lit("o.go").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("column"),
+    )
+    return rules.call_rules(calls, _internal(spark, sf_dir))
+
+
+@query(CALLS_SQL + "SELECT src, dst, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS at FROM c", prefix=False)
+def rule_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _calls(spark, sf_dir)[1].select("src", "dst", F.explode("occurrences").alias("o"))
+    return rows.select("src", "dst", F.col("o.line").cast("long").alias("line"), F.col("o.column").cast("long").alias("at"))
+
+
+@query(CALLS_SQL + "SELECT DISTINCT dst AS id, name, pkg AS pkg_path FROM c WHERE pkg NOT IN (SELECT pkg_path FROM pk WHERE internal)", prefix=False)
+def rule_outside_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calls(spark, sf_dir)[0].select("id", "name", "pkg_path")
+
+
+@query(
+    """WITH s AS (SELECT event_id AS k, 'u/' || user_id AS src, 'lib.goroutine_L' || event_id || '_C' || (user_id % 80) AS id,
+  CASE WHEN event_id % 3 = 0 THEN '' ELSE 'f/' || event_type END AS callee FROM events)
+SELECT src, id AS dst, 'SPAWNS' AS type FROM s UNION ALL SELECT id, callee, 'CALLS' FROM s WHERE callee <> ''""",
+    prefix=False,
+)
+def rule_spawns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    spawns = Commerce(spark, sf_dir).events.select(
+        _text("u/", "user_id").alias("src"), F.lit("lib").alias("pkg_path"), F.lit("g.go").alias("file"), k.alias("line"),
+        (k + 3).alias("end_line"), (F.col("user_id") % 80).alias("column"),
+        F.when(k % 3 == 0, "").otherwise(_text("f/", "event_type")).alias("callee"), F.lit("lib").alias("callee_pkg"),
+    )
+    return rules.spawn_rules(spawns)[1].select("src", "dst", "type")
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A channel for each user, by the place of its declaration; values above 100 are sent, others received."""
+    events = Commerce(spark, sf_dir).events
+    place = (F.lit("lib"), F.lit("c.go"), F.col("user_id").cast("string"), F.lit("7"), F.lit("ch"))
+    channels = events.select("user_id").distinct().select(
+        rules.channel_id(*place).alias("id"), F.lit("ch").alias("name"), F.lit("int").alias("elem"), F.lit("lib").alias("pkg_path"),
+        F.lit("c.go").alias("file"), F.col("user_id").alias("line"),
+    )
+    ops = events.select(
+        rules.function_id(F.lit("lib"), F.col("event_type")).alias("src"), rules.channel_id(*place).alias("channel"),
+        F.when(F.col("value") > 100, "send").otherwise("receive").alias("op"),
+    )
+    return rules.channel_rules(channels, ops)
+
+
+@query("SELECT DISTINCT 'channel:lib:c.go:' || user_id || ':7:ch' AS id, 'ch (chan int)' AS name, CAST(user_id AS BIGINT) AS line FROM events", prefix=False)
+def rule_channel_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _channels(spark, sf_dir)[0].select("id", "name", F.col("line_start").cast("long").alias("line"))
+
+
+@query(
+    """SELECT DISTINCT 'lib.' || event_type AS src, 'channel:lib:c.go:' || user_id || ':7:ch' AS dst,
+  CASE WHEN value > 100 THEN 'SENDS_TO' ELSE 'RECEIVES_FROM' END AS type FROM events""",
+    prefix=False,
+)
+def rule_channel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _channels(spark, sf_dir)[1].select("src", "dst", "type")
+
+
+ROUTES_SQL = """WITH r AS (SELECT page_id, page_id % 2 = 0 AS std, page_id % 4 < 2 AS said, page_id % 7 = 0 AS unknown FROM pages),
+m AS (SELECT page_id, CASE WHEN std AND said THEN 'GET' WHEN std THEN 'ANY' WHEN said THEN 'POST' ELSE 'ANY' END AS method,
+  CASE WHEN std THEN '/p/' ELSE '/api/p/' END || page_id AS path FROM r WHERE NOT unknown),
+i AS (SELECT page_id, method, path, 'r.go::route:' || method || ':' || path AS id FROM m) """
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Even pages are patterns of the standard library, odd ones of groups below /api; every seventh is unresolved."""
+    k = F.col("page_id")
+    std, said, path = k % 2 == 0, k % 4 < 2, F.concat(F.lit("/p/"), k.cast("string"))
+    handler = F.concat(F.lit("h/"), (k % 5).cast("string"))
+    routes = Commerce(spark, sf_dir).pages.select(
+        F.lit("r.go").alias("file"), _text("own/", "page_id").alias("owner"), F.when(std, "net/http").otherwise("gin").alias("framework"),
+        F.when(~std & said, "post").alias("method"), F.when(std, "").otherwise("/api/").alias("prefix"),
+        F.when(k % 7 == 0, None).when(std & said, F.concat(F.lit("GET "), path)).otherwise(path).alias("pattern"),
+        F.array(handler, F.lit("auth"), handler).alias("handlers"), F.lit("lib").alias("pkg_path"), k.alias("line"),
+    )
+    return rules.route_rules(routes)
+
+
+@query(ROUTES_SQL + "SELECT id, method || ' ' || path AS name FROM i", prefix=False)
+def rule_route_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routes(spark, sf_dir)[0].select("id", "name")
+
+
+@query(
+    ROUTES_SQL + """SELECT 'r.go' AS src, id AS dst, 'CONTAINS' AS type FROM i UNION ALL SELECT 'own/' || page_id, id, 'REGISTERS_ROUTE' FROM i
+UNION ALL SELECT id, 'h/' || (page_id % 5), 'REFERENCES' FROM i UNION ALL SELECT id, 'auth', 'REFERENCES' FROM i""", prefix=False,
+)
+def rule_route_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routes(spark, sf_dir)[1].select("src", "dst", "type")
+
+
+@query("SELECT 'lib.' || c_name AS func, 'lib.' || c_mktsegment || '.' || c_name AS method FROM customer", prefix=False)
+def rule_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib, name = F.lit("lib"), F.col("c_name")
+    return Commerce(spark, sf_dir).customer.select(
+        rules.function_id(lib, name).alias("func"), rules.method_id(lib, F.col("c_mktsegment"), name).alias("method")
+    )
+
+
+# -- the store
+
+
+def _store(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The commerce graph as a store of its own."""
+    store = GraphStore(spark, f"{shared_folder(spark)}/quiver/{uuid.uuid4().hex}/store")
+    store.save(graph_of(spark, sf_dir))
+    return store
+
+
+@query("SELECT id, type, name, pkg_path, file_path, CAST(line_start AS BIGINT) AS line_start, repo_id FROM nodes")
+def store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _store(spark, sf_dir).scan()
+    return rows.select("id", "type", "name", "pkg_path", "file_path", F.col("line_start").cast("long").alias("line_start"), "repo_id")
+
+
+@query("SELECT id, name FROM nodes WHERE starts_with(id, 'c/1')")
+def store_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).scan_prefix("c/1").select("id", "name")
+
+
+@query("SELECT id, type, name FROM nodes WHERE id = 's/3'")
+def store_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = _store(spark, sf_dir).get("s/3")
+    return spark.createDataFrame([(node["id"], node["type"], node["name"])], "id string, type string, name string")
+
+
+@query(
+    """SELECT id, name FROM nodes WHERE id NOT IN ('s/3', 's/4') UNION ALL SELECT 'new/' || r_name, 'new' FROM region"""
+)
+def store_put_and_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that are put are there, also those already known; removed ones aren't, and a missing one is no error."""
+    store = _store(spark, sf_dir)
+    regions = Commerce(spark, sf_dir).region.select(_text("new/", "r_name").alias("id"), F.lit("new").alias("name"), F.lit("REPO").alias("type"))
+    known = graph_of(spark, sf_dir).nodes.filter("id = 's/5'").select("id", F.lit("other").alias("name"), "type")
+    store.put(nodes=with_defaults(regions.unionByName(known), NODES))
+    store.remove("s/3", "s/4", "nobody")
+    return store.scan().select("id", "name")
