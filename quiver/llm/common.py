@@ -180,3 +180,26 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt to all cores where the Parquet files below have fewer row groups than there are cores.
+
+    A row group is read by one task, so Python work on a table of few of them would leave cores idle. A table of as
+    many files as cores is taken as it is, without a look into its files.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df._jdf.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    jvm, conf, groups = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for file in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
+            jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf)
+        )
+        try:
+            groups += reader.getFooter().getBlocks().size()
+        finally:
+            reader.close()
+    return df if groups >= cores else df.repartition(cores)

@@ -224,3 +224,21 @@ def test_pricing_is_a_knapsack():
     best = max((sum(n * v for n, v in zip(c, values, strict=True)) for c in itertools.product(range(8), repeat=3) if sum(n * x for n, x in zip(c, lengths, strict=True)) <= 15))
     config = packing.price(values, lengths, 15)
     assert sum(n * values[list(lengths).index(x)] for x, n in config.items()) == best
+
+
+def test_spread_of_few_row_groups(spark, tmp_path):
+    """A table of one row group goes to all cores whole; one of enough files, an empty one and one without files stay whole too."""
+    from quiver.llm.common import spread
+
+    rows = spark.range(1000).selectExpr("id AS doc_id", "CASE WHEN id % 7 = 0 THEN NULL ELSE repeat('x', 1 + id % 3) END AS text")
+    few, many, none = (str(tmp_path / x) for x in ("few", "many", "none"))
+    rows.coalesce(1).write.parquet(few)
+    rows.repartition(6).write.parquet(many)
+    rows.filter("false").write.parquet(none)
+    cores = spark.sparkContext.defaultParallelism
+    read = spark.read.parquet(few)
+    assert spread(read).rdd.getNumPartitions() == cores
+    assert spread(read).exceptAll(rows).isEmpty() and spread(read).count() == 1000
+    assert "Exchange" not in spread(spark.read.parquet(many))._jdf.queryExecution().executedPlan().toString()
+    assert spread(spark.read.parquet(none)).count() == 0
+    assert spread(rows).count() == 1000
