@@ -182,7 +182,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def on_all_cores(df: DataFrame) -> DataFrame:
     """The same rows, dealt to all cores where the Parquet files below have fewer row groups than there are cores.
 
     A row group is read by one task, so Python work on a table of few of them would leave cores idle. A table of as

@@ -8,7 +8,8 @@ crowded for that are compared whole afterwards, as far as their documents are in
 
 Defined results: a text without words has an empty set and is linked with nothing; one with fewer words than a
 shingle has its whole sequence as its only shingle. Documents with equal sets are linked. Rows that repeat a doc_id
-are each given their component; a null doc_id is linked with nothing and kept.
+are each given their component; a null doc_id is linked with nothing and kept. ``keep_documents`` decides by doc_id and
+text: of different texts under one id each goes or stays for itself, of rows equal in both any one stays.
 """
 
 from __future__ import annotations
@@ -101,10 +102,9 @@ def shingler(words: int) -> Shingler:
 
 
 def signatures(documents: DataFrame, params: ForestParams) -> DataFrame:
-    """Per document: doc_id, size (of its set), the set's fingerprint f1, f2, and its signature."""
+    """Per document: doc_id, its text's hash, size (of its set), the set's fingerprint f1, f2, and its signature."""
     schema = T.StructType(
-        [T.StructField("doc_id", T.LongType())]
-        + [T.StructField(x, T.LongType()) for x in ("size", "f1", "f2")]
+        [T.StructField(x, T.LongType()) for x in ("doc_id", "text_hash", "size", "f1", "f2")]
         + [T.StructField("signature", T.BinaryType())]
     )
 
@@ -113,6 +113,7 @@ def signatures(documents: DataFrame, params: ForestParams) -> DataFrame:
         prints = np.frombuffer(b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64)
         columns = [
             batch.column("doc_id"),
+            batch.column("text_hash"),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array(prints[::2].copy()),
             pa.array(prints[1::2].copy()),
@@ -120,7 +121,8 @@ def signatures(documents: DataFrame, params: ForestParams) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return map_batches(rows, run, schema)
 
 
 def _tree_rows(distinct: DataFrame, params: ForestParams) -> DataFrame:
@@ -163,13 +165,17 @@ def _sets_of(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is component_id)."""
+    return _decided(documents, params).drop("text_hash")
+
+
+def _decided(documents: DataFrame, params: ForestParams) -> DataFrame:
     if params.trees > 64:
         raise ValueError("a key has room for 64 trees")
     signed = written(signatures(documents, params), "signatures", lasting=True)
     found = signed.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
     with passing():
         groups = written(_linked_sets(documents, signed.count(), found, params), "groups", lasting=True)
-    sets = signed.select("doc_id", "size", "f1", "f2").join(groups, ["f1", "f2"], "left")
+    sets = signed.select("doc_id", "text_hash", "size", "f1", "f2").join(groups, ["f1", "f2"], "left")
     own = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
     component = F.coalesce(own, F.col("doc_id"))
     return sets.select(
@@ -177,6 +183,7 @@ def near_duplicates(documents: DataFrame, params: ForestParams = ForestParams())
         F.col("size").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_hash",
     )
 
 
@@ -213,5 +220,18 @@ def _linked_sets(documents: DataFrame, n_rows: int, found: DataFrame, params: Fo
 
 def keep_documents(documents: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:
     """One document of each component, with all its columns."""
-    gone = written(near_duplicates(documents, params).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return documents.join(gone, documents["doc_id"] == gone["doc_id"], "left_anti")
+    decided = written(_decided(documents, params).select("doc_id", "text_hash", "n_shingles", "kept"), "decided")
+    text_hash = F.xxhash64(documents["text"])
+
+    def with_rows(rows: DataFrame, among: DataFrame, how: str) -> DataFrame:
+        same = (rows["doc_id"] == among["doc_id"]) & (text_hash == among["text_hash"])
+        return rows.join(among, same, how)
+
+    left = with_rows(documents, decided.filter(~F.col("kept")).select("doc_id", "text_hash").distinct(), "left_anti")
+    told = decided.filter(F.col("kept") & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    again = told.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    again = written(again.select("doc_id", "text_hash"), "repeated")
+    if again.isEmpty():
+        return left
+    once = with_rows(left, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return with_rows(left, again, "left_anti").unionByName(once)

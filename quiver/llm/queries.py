@@ -19,7 +19,7 @@ from quiver.llm import (
     topk,
     warc,
 )
-from quiver.llm.common import spread, table
+from quiver.llm.common import on_all_cores, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,7 +30,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality_fm.score_documents(spread(documents), quality_fm.fit_quality(documents, labels))
+    return quality_fm.score_documents(on_all_cores(documents), quality_fm.fit_quality(documents, labels))
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,33 +39,33 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality_rules.quality_rules(spread(documents), quality_rules.fit_line_labels(documents, labels))
+    return quality_rules.quality_rules(on_all_cores(documents), quality_rules.fit_line_labels(documents, labels))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(spread(table(spark, sf_dir, "documents")), tokenizer_path("word_bpe_49k.json"))
+    return token_counts.count_tokens(on_all_cores(table(spark, sf_dir, "documents")), tokenizer_path("word_bpe_49k.json"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed and the text that is left."""
-    return line_dedup.dedup_lines(spread(table(spark, sf_dir, "documents"))).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup_lines(on_all_cores(table(spark, sf_dir, "documents"))).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return warc.round_trip(spread(table(spark, sf_dir, "pages"))).select(*columns)
+    return warc.round_trip(on_all_cores(table(spark, sf_dir, "pages"))).select(*columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(spread(table(spark, sf_dir, "documents")), near_dup.ForestParams(words=2))
+    return near_dup.near_duplicates(on_all_cores(table(spark, sf_dir, "documents")), near_dup.ForestParams(words=2))
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(spread(table(spark, sf_dir, "documents")), tokenizer_path("byte_bpe_50k.json"))
+    return byte_bpe.round_trip(on_all_cores(table(spark, sf_dir, "documents")), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spread(table(spark, sf_dir, "documents")), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(on_all_cores(table(spark, sf_dir, "documents")), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

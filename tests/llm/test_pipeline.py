@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from quiver.llm import line_dedup, quality_fm, quality_rules
 from quiver.llm.common import table
+from tests.llm.tables import documents, prose
 from tests.llm.test_duplicates import links_of, roots, word_sets
 from tests.llm.test_tokens import check_packing
 
@@ -47,3 +48,29 @@ def test_run(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert rows.count() > 0 and rows.columns[:2] == ["doc_id", "piece"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "line_dedup", "near_dedup", "best_fit_packing"]
+
+
+def test_stages_of_awkward_rows(spark, sf):
+    """Null and repeated ids, null and empty texts, clashing names; then tables without rows."""
+    from pyspark.sql import functions as F
+
+    rows = documents(spark)
+    awkward = rows.unionByName(rows).unionByName(rows.filter("doc_id % 3 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    awkward = awkward.withColumns({x: F.lit(1) for x in ("_doc", "_gone", "quality", "text_hash", "component", "root", "length")}).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (awkward, awkward.filter("doc_id < 0")):
+            out = stage(spark, docs, sf)
+            n = out.count()
+            assert n == 0 if docs is not awkward else n > 0 or name in ("quality_rules", "quality_classifier")
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns and out.schema == docs.schema
+
+
+def test_near_duplicates_under_one_id(spark, sf):
+    """Each text of an id goes or stays for itself, and a row told twice stays once."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, c), (7, c), (7, c), (8, b), (None, a), (None, a), (9, None), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in rows], "doc_id long, text string, text_hash string")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    said = sorted(((r.doc_id, r.text) for r in stage(spark, docs, sf).collect()), key=str)
+    assert said == sorted([(3, a), (5, b), (7, c), (None, a), (None, a), (9, None), (9, None), (9, "")], key=str)

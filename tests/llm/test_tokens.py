@@ -226,9 +226,9 @@ def test_pricing_is_a_knapsack():
     assert sum(n * values[list(lengths).index(x)] for x, n in config.items()) == best
 
 
-def test_spread_of_few_row_groups(spark, tmp_path):
+def test_on_all_cores_of_few_row_groups(spark, tmp_path):
     """A table of one row group goes to all cores whole; one of enough files, an empty one and one without files stay whole too."""
-    from quiver.llm.common import spread
+    from quiver.llm.common import on_all_cores
 
     rows = spark.range(1000).selectExpr("id AS doc_id", "CASE WHEN id % 7 = 0 THEN NULL ELSE repeat('x', 1 + id % 3) END AS text")
     few, many, none = (str(tmp_path / x) for x in ("few", "many", "none"))
@@ -237,8 +237,8 @@ def test_spread_of_few_row_groups(spark, tmp_path):
     rows.filter("false").write.parquet(none)
     cores = spark.sparkContext.defaultParallelism
     read = spark.read.parquet(few)
-    assert spread(read).rdd.getNumPartitions() == cores
-    assert spread(read).exceptAll(rows).isEmpty() and spread(read).count() == 1000
-    assert "Exchange" not in spread(spark.read.parquet(many))._jdf.queryExecution().executedPlan().toString()
-    assert spread(spark.read.parquet(none)).count() == 0
-    assert spread(rows).count() == 1000
+    assert on_all_cores(read).rdd.getNumPartitions() == cores
+    assert on_all_cores(read).exceptAll(rows).isEmpty() and on_all_cores(read).count() == 1000
+    assert "Exchange" not in on_all_cores(spark.read.parquet(many))._jdf.queryExecution().executedPlan().toString()
+    assert on_all_cores(spark.read.parquet(none)).count() == 0
+    assert on_all_cores(rows).count() == 1000
