@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
 columns of ``documents``. ``run`` writes each stage as Parquet in the shared folder and reads it again.
+
+Defined results, for every stage: an empty table stays empty; a null doc_id is a document like others; further columns
+pass through whatever their names, up to the packing. A null or empty text, or one without words, is rejected by the
+rules; stages that get one all the same score it as empty, find no line in it, link it with nothing, and pack it as its
+end mark alone. Of equal lines the first by doc_id and place stays, rows with a null doc_id coming last. Of linked
+documents the one with the smallest doc_id stays; one with a null doc_id is linked with nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quiver.llm import line_dedup, near_dup, packing, quality_fm, quality_rules
-from quiver.llm.common import table, written
+from quiver.llm.common import on_all_cores, table, written
 from quiver.llm.queries import tokenizer_path
 
 
@@ -53,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = on_all_cores(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs
