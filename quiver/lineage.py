@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where that is unset and all run on one machine, as in tests, a local folder is made."""
@@ -19,15 +22,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder. Results may be read at any time, so it is removed when the driver's Python ends."""
+    folder = f"{shared_folder(spark)}/quiver/{uuid.uuid4().hex}"
+    _made.append((spark, folder))
+    return f"{folder}/{name}"
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, folder in _made:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a table in the shared folder. A checkpoint would make them twice, once to count and once to write."""
-    path = f"{shared_folder(df.sparkSession)}/quiver/{uuid.uuid4().hex}/cut"
+    path = _place(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder, in files of a good size."""
-    path = f"{shared_folder(df.sparkSession)}/quiver/{uuid.uuid4().hex}/{name}"
+    path = _place(df.sparkSession, name)
     df.hint("rebalance").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

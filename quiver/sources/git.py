@@ -35,11 +35,18 @@ class GitState:
 
 
 def capture(root: str, run: Runner = run_program) -> GitState:
-    """Top folder, commit, branch, whether anything is changed, and SHA-256 of the porcelain status if so."""
+    """Top folder, commit, branch, whether anything is changed, and SHA-256 of the porcelain status if so.
+
+    A HEAD that is no commit is an error; a branch that Git can't tell, as where HEAD is detached, is empty.
+    """
     line = lambda *args: run(root, ["git", *args]).decode("utf-8", "replace").strip()
-    top, head = line("rev-parse", "--show-toplevel"), line("rev-parse", "HEAD")
-    branch = line("branch", "--show-current")
-    status = run(root, ["git", "status", "--porcelain=v1", "-z", "--untracked-files=all"])
+    top, head = line("rev-parse", "--show-toplevel"), line("rev-parse", "--verify", "HEAD^{commit}")
+    try:
+        branch = line("branch", "--show-current")
+    except GraphError:
+        branch = ""
+    # as Git's own default has it, a folder without tracked files is one entry
+    status = run(root, ["git", "status", "--porcelain=v1", "-z"])
     return GitState(top, head, branch, bool(status), hashlib.sha256(status).hexdigest() if status else "")
 
 

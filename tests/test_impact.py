@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import subprocess
 
 import pytest
@@ -10,7 +11,7 @@ from quiver.analysis.freshness import freshness, overall
 from quiver.functions.text import canonical_path, join_route, markdown_code
 from quiver.schema import METADATA, GraphError
 from quiver.sinks import markdown
-from quiver.sources.git import capture, check_base_ref
+from quiver.sources.git import capture, check_base_ref, run_program
 from tests.graphs import graph, node
 
 
@@ -176,12 +177,36 @@ def test_real_repository(spark, tmp_path):
     (tmp_path / "new.go").write_text("x")
     state = capture(str(tmp_path))
     assert state.dirty and len(state.status_fingerprint) == 64 and state.branch == "main"
+    status = subprocess.run(["git", "status", "--porcelain=v1", "-z"], cwd=tmp_path, check=True, capture_output=True).stdout
+    assert state.status_fingerprint == hashlib.sha256(status).hexdigest()
     path = canonical_path(str(tmp_path / "a.go"))
     g = graph(spark, [node("F:FUNC", file_path=path, line_start=10, line_end=20, repo_id="r")], [])
     report = impact.analyze(g, [impact.Repo(str(tmp_path), "r")])
     assert [n["id"] for n in report.changed_nodes] == ["F"] and [f["path"] for f in report.changed_files] == ["a.go", "new.go"]
 
 
+def test_state_of_odd_repositories(tmp_path):
+    """A branch that Git can't tell is empty, a HEAD without a commit is an error, folders without tracked files are one entry."""
+
+    def run(folder, args):
+        if "branch" in args:
+            raise GraphError("no branch")
+        return run_program(folder, args)
+
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=x", "-c", "user.email=x@x", *a], cwd=tmp_path, check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    with pytest.raises(GraphError):
+        capture(str(tmp_path))
+    (tmp_path / "a.go").write_text("a")
+    git("add", ".")
+    git("commit", "-qm", "first")
+    assert capture(str(tmp_path), run).branch == "" and not capture(str(tmp_path), run).dirty
+    (tmp_path / "more").mkdir()
+    for name in ("x.go", "y.go"):
+        (tmp_path / "more" / name).write_text(name)
+    assert capture(str(tmp_path)).status_fingerprint == hashlib.sha256(b"?? more/\0").hexdigest()
+
+
 def test_small_functions():
     assert markdown_code("a`b``c") == "```a`b``c```" and markdown_code("`x`") == "`` `x` ``"
     assert join_route("/api", "users/") == "/api/users/" and join_route("", "/") == "/" and join_route("api/", "/v1") == "/api/v1"
