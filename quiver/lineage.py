@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +31,16 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @atexit.register
 def _remove_all() -> None:
     for spark, folder in _made:
         try:
-            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _remove(spark, folder)
         except Exception:  # noqa: BLE001 - the session may have ended before
             return
 
@@ -46,6 +52,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def step(df: DataFrame) -> DataFrame:
+    """Like ``cut``; the shuffle files that led to the table go once it is written, so that steps don't add up on disk."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return cut(df)
+    finally:
+        spark.conf.set(key, before)
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``step`` for tables that go at the end: no result may still need them."""
+    own: list[tuple[SparkSession, str]] = []
+
+    def one(df: DataFrame) -> DataFrame:
+        out = step(df)
+        own.append(_made[-1])
+        return out
+
+    try:
+        yield one
+    finally:
+        for made in own:
+            _remove(*made)
+            _made.remove(made)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder, in files of a good size."""
     path = _place(df.sparkSession, name)

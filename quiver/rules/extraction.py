@@ -27,10 +27,20 @@ from pyspark.sql import functions as F
 
 from quiver.functions.text import basename, join_route_column, last_segment, route_parts
 from quiver.graph import PropertyGraph
+from quiver.lineage import passing, step
 from quiver.schema import EDGES, NODES
 
 GIN_VERBS = ("GET", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "HEAD", "ANY")
 
+#: Holders of a method that are listed beside it; methods that more types hold are looked up for candidates alone.
+MANY_HOLDERS = 1000
+
+#: Counters of holders by a hash of the method, which every task gets.
+BUCKETS = 1 << 19
+
+#: Entries of holders' lists that are shuffled beside interfaces at once.
+PASS_ENTRIES = 150_000_000
+
 
 def _nodes(table: DataFrame, **values: Column) -> DataFrame:
     blank = {f.name: F.lit("" if f.dataType.simpleString() == "string" else 0) for f in NODES}
@@ -160,22 +170,58 @@ def channel_flow(flows: DataFrame, edges: DataFrame) -> DataFrame:
 def implements(methods: DataFrame, interface_methods: DataFrame) -> DataFrame:
     """src, dst: types whose method sets hold every method of a non-empty interface; relational division.
 
-    Only types that have an interface's rarest method are candidates, so a method that most types have is never joined
-    with all interfaces that want it; the other methods are counted for candidates alone.
+    Of an interface of several methods only types that hold its three rarest are candidates: the holders of a method
+    travel as one array of 32-bit hashes of types, and arrays are intersected, so a candidate is never a row of its own
+    before that. A method with more than MANY_HOLDERS has no array and rules nothing out; where all three are such, the
+    holders of the rarest are candidates. Hashes can only let more through: each candidate's methods are all looked up
+    by name and signature. What is rare is told from BUCKETS counts, which rule nothing out either. Steps are written
+    one by one, so that a disk holds the shuffle of one step at a time.
     """
-    method = ["name", "signature"]
-    wanted = interface_methods.select("interface", *method).distinct()
-    has = methods.select("type", *method).distinct()
-    holders = wanted.join(has.groupBy(method).agg(F.count("*").alias("holders")), method, "left")
-    rarest = F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), *method)).alias("rarest")
-    probes = holders.groupBy("interface").agg(F.count("*").alias("size"), rarest).filter("rarest.holders > 0")
-    probes = probes.select("interface", "size", "rarest.name", "rarest.signature")
-    candidates = probes.join(has, method).filter(F.col("type") != F.col("interface")).select("type", "interface", "size", *method)
-    rest = wanted.join(probes.select("interface", *[F.col(c).alias("r_" + c) for c in method]), "interface")
-    rest = rest.filter((F.col("name") != F.col("r_name")) | (F.col("signature") != F.col("r_signature"))).select("interface", *method)
-    held = candidates.filter("size > 1").drop(*method).join(rest, "interface").join(has, ["type", *method], "left_semi")
-    full = held.groupBy("type", "interface", "size").agg(F.count("*").alias("n")).filter("n = size - 1")
-    found = candidates.filter("size = 1").select("type", "interface").unionByName(full.select("type", "interface"))
+    method, m = ["name", "signature"], F.xxhash64("name", "signature").alias("m")
+    has, wanted = methods.select("type", *method), interface_methods.select("interface", *method)
+    bucket = F.pmod("m", F.lit(BUCKETS)).alias("bucket")
+    with passing() as written:
+        held = has.select(m, F.hash("type").alias("t")).repartition("m").groupBy("m").agg(F.collect_set("t").alias("types"))
+        few = F.when(F.size("types") <= MANY_HOLDERS, F.col("types"))
+        held = written(held.select("m", F.size("types").alias("n"), few.alias("types")))
+        load = held.groupBy(bucket).agg(F.sum("n").alias("load"))
+        counted = wanted.select("*", m).select("interface", *method, bucket).join(F.broadcast(load), "bucket", "left")
+        one = F.struct(F.coalesce("load", F.lit(0)).alias("load"), *method).alias("one")
+        listed = counted.select("interface", one).repartition("interface").groupBy("interface")
+        listed = listed.agg(F.sort_array(F.collect_set("one")).alias("methods"))
+        listed = written(listed.select(F.monotonically_increasing_id().alias("id"), "*", F.size("methods").alias("size")))
+        single = listed.filter("size = 1").select("interface", F.col("methods")[0].alias("one")).select("interface", "one.*")
+        single = step(single.drop("load"))
+
+        # an interface of two methods meets its first one twice, which changes nothing
+        nth = lambda k: F.col("methods")[F.when(F.col("size") > k, k).otherwise(0)]
+        several = listed.filter("size > 1")
+        rows = several.agg(F.sum(F.least(F.col("methods")[0]["load"], F.lit(MANY_HOLDERS)))).first()[0] or 0
+        n_passes = 1 + rows // PASS_ENTRIES
+        left: list[DataFrame] = []
+        for nth_pass in range(n_passes):
+            now = several.filter(F.pmod(F.xxhash64("id"), F.lit(n_passes)) == nth_pass)
+            now = now.select("id", *[F.xxhash64(nth(k)["name"], nth(k)["signature"]).alias(f"m{k}") for k in range(3)])
+            now = now.withColumn("both", F.lit(None).cast("array<int>"))
+            for k in range(3):
+                now = now.join(held.select(F.col("m").alias(f"m{k}"), "types"), f"m{k}")
+                both = F.coalesce(F.array_intersect("both", "types"), "both", "types")
+                now = now.withColumn("both", both).drop(f"m{k}", "types").filter(F.col("both").isNull() | (F.size("both") > 0))
+            left.append(written(now))
+        left_over = reduce(DataFrame.unionByName, left)
+        names = has.select("type").distinct().select(F.hash("type").alias("t"), "type")
+        candidates = left_over.select("id", F.explode("both").alias("t")).join(names, "t").select("id", "type")
+        wide = left_over.filter(F.col("both").isNull()).select("id")
+        if not wide.isEmpty():
+            rarest = several.join(wide, "id").select("id", F.col("methods")[0].alias("one")).select("id", "one.*")
+            candidates = candidates.unionByName(rarest.join(has.distinct(), method).select("id", "type"))
+        asked = several.join(candidates, "id").filter(F.col("type") != F.col("interface"))
+        asked = asked.select("type", "interface", "size", F.explode("methods").alias("one"))
+        asked = written(asked.select("type", "interface", "size", "one.name", "one.signature"))
+        full = asked.join(has, ["type", *method], "left_semi").groupBy("type", "interface", "size").agg(F.count("*").alias("n"))
+        full = step(full.filter("n = size").select("type", "interface"))
+    alone = single.join(has.repartition(*method).distinct(), method).filter(F.col("type") != F.col("interface"))
+    found = alone.select("type", "interface").unionByName(full)
     return found.select(F.col("type").alias("src"), F.col("interface").alias("dst"))
 
 

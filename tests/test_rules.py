@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from quiver import lineage
+from quiver.rules import extraction
 from quiver.rules.extraction import channel_flow, graph_of_facts, implements, route_rules
 from quiver.sources import filesystem
 from quiver.sources.packages import selected
@@ -100,3 +102,28 @@ def test_implements_with_a_method_that_all_have(spark):
     methods = spark.createDataFrame([(t, m, "()") for t, ms in sets.items() for m in ms], "type string, name string, signature string")
     wanted = spark.createDataFrame([(i, m, "()") for i, ms in wants.items() for m in ms], "interface string, name string, signature string")
     assert rows(implements(methods, wanted)) == {(t, i) for t, ms in sets.items() for i, ws in wants.items() if ws <= ms}
+
+
+def test_implements_sends_no_row_for_each_holder_of_a_method(spark, monkeypatch):
+    """Candidates are arrays until all rarest methods were met; against brute force, for every bound of the arrays."""
+    sets = {f"T{i}": {f"m{(i * i + 7 * k * i + k) % 40}" for k in range(9)} | {"String"} for i in range(150)}
+    wants = {f"I{j}": {f"m{(j + 3 * k * k) % 40}" for k in range(1 + j % 6)} for j in range(80)} | {"S": {"String"}, "E": {"String", "m1"}}
+    wants |= {"T3": {"m3"}, "T5": {"String", "m5"}}
+    methods = spark.createDataFrame([(t, m, "()") for t, ms in sets.items() for m in ms] + [("T1", None, "()")], "type string, name string, signature string")
+    wanted = [(i, m, "()") for i, ms in wants.items() for m in ms] + [("none", None, "()"), ("none", "m1", "()")]
+    wanted = spark.createDataFrame(wanted, "interface string, name string, signature string")
+    expected = {(t, i) for t, ms in sets.items() for i, ws in wants.items() if ws <= ms and t != i}
+    for many, entries in ((1000, 10**6), (20, 50), (0, 10**6)):
+        monkeypatch.setattr(extraction, "MANY_HOLDERS", many)
+        monkeypatch.setattr(extraction, "PASS_ENTRIES", entries)
+        found = implements(methods, wanted)
+        assert rows(found) == expected and found.count() == len(expected)
+    monkeypatch.undo()
+    # most rows of a step: those of the tables given and of confirmed candidates, not each holder of the rarest method
+    made: list[int] = []
+    monkeypatch.setattr(lineage, "cut", lambda df, f=lineage.cut: made.append((out := f(df)).count()) or out)
+    same = spark.range(3000).selectExpr("concat('t', id % 100) AS type", "concat('m', id div 100) AS name", "'()' AS signature")
+    pairs = spark.range(400).selectExpr("concat('i', id) AS interface", "explode(array('a', 'b', 'c')) AS name", "'()' AS signature")
+    each = spark.range(300).selectExpr("concat('t', id) AS type", "element_at(array('a', 'b', 'c'), cast(id % 3 + 1 as int)) AS name", "'()' AS signature")
+    assert implements(same.unionByName(each), pairs).isEmpty()
+    assert made and max(made) <= 1200
