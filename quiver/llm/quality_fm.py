@@ -17,8 +17,11 @@ a bin of its own; without labelled rows of both kinds every score is 0.5.
 from __future__ import annotations
 
 import operator
+import tempfile
 from collections import Counter
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import cmp_to_key
 from itertools import islice
 from zlib import crc32
 
@@ -36,6 +39,9 @@ STATISTICS = (
     "repeated_lines", "top_word", "chars",
 )
 
+#: Non-zeros of a batch of documents that a fit works on at once.
+PART_VALUES = 500_000
+
 
 @dataclass(frozen=True)
 class FmParams:
@@ -133,9 +139,27 @@ class Fm:
             k = end
         return out
 
+    def gradient(
+        self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The features that documents of a batch of ``n`` use, and the loss's slopes by their w, their v and the bias."""
+        sizes = np.array([len(x) for x, _ in docs])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        index = np.concatenate([x for x, _ in docs])
+        value = np.concatenate([x for _, x in docs])
+        margin = self.margins(index, value, starts)
+        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels).astype(np.float32) / n
+        per = np.repeat(error, sizes)
+        vx = self.v[index] * value[:, None]
+        sums = np.repeat(np.add.reduceat(vx, starts, axis=0), sizes, axis=0)
+        used, inverse = np.unique(index, return_inverse=True)
+        each = (per * value)[:, None] * (sums - vx)
+        dv = np.stack([np.bincount(inverse, each[:, f], len(used)) for f in range(each.shape[1])], 1)
+        return used, np.bincount(inverse, per * value, len(used)), dv, float(error.sum())
+
     @classmethod
-    def fit(cls, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, params: FmParams) -> Fm:
-        """Logistic loss, AdaGrad over shuffled batches."""
+    def fit(cls, docs: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, params: FmParams) -> Fm:
+        """Logistic loss, AdaGrad over shuffled batches; a batch of long documents is worked on part by part."""
         if len(set(labels.tolist())) < 2:
             return cls.blank(params)
         rng = np.random.default_rng(params.seed)
@@ -147,21 +171,18 @@ class Fm:
             order = rng.permutation(len(docs))
             for at in range(0, len(order), params.batch):
                 chosen = order[at : at + params.batch]
-                sizes = np.array([len(docs[i][0]) for i in chosen])
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                index = np.concatenate([docs[i][0] for i in chosen])
-                value = np.concatenate([docs[i][1] for i in chosen])
-                margin = cls(bias, w, v).margins(index, value, starts)
-                error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[chosen]).astype(np.float32) / len(chosen)
-                per = np.repeat(error, sizes)
-                vx = v[index] * value[:, None]
-                sums = np.repeat(np.add.reduceat(vx, starts, axis=0), sizes, axis=0)
-                used, inverse = np.unique(index, return_inverse=True)
-                dw = np.bincount(inverse, per * value, len(used)).astype(np.float32) + params.l2 * w[used]
-                each = (per * value)[:, None] * (sums - vx)
-                dv = np.stack([np.bincount(inverse, each[:, f], len(used)) for f in range(params.factors)], 1)
+                model = cls(bias, w, v)
+                batch = [docs[i] for i in chosen]
+                parts = [model.gradient(batch[x], labels[chosen[x]], len(chosen)) for x in _parts(batch)]
+                used = parts[0][0] if len(parts) == 1 else np.unique(np.concatenate([x for x, *_ in parts]))
+                dw, dv, db = np.zeros(len(used)), np.zeros((len(used), params.factors)), 0.0
+                for x, of_w, of_v, of_bias in parts:
+                    at_used = np.searchsorted(used, x)
+                    dw[at_used] += of_w
+                    dv[at_used] += of_v
+                    db += of_bias
+                dw = dw.astype(np.float32) + params.l2 * w[used]
                 dv = dv.astype(np.float32) + params.l2 * v[used]
-                db = float(error.sum())
                 gw[used] += dw * dw
                 gv[used] += dv * dv
                 gb += db * db
@@ -171,6 +192,59 @@ class Fm:
         return cls(bias, w, v)
 
 
+def _parts(batch: list[tuple[np.ndarray, np.ndarray]]) -> list[slice]:
+    """Runs of a batch's documents with PART_VALUES non-zeros at most, but with one document at least."""
+    out, at, size = [], 0, 0
+    for k, (index, _) in enumerate(batch):
+        if k > at and size + len(index) > PART_VALUES:
+            out.append(slice(at, k))
+            at, size = k, 0
+        size += len(index)
+    return [*out, slice(at, len(batch))]
+
+
+class Spooled(Sequence):
+    """Labelled documents' non-zeros in a file of this process, in the order of (label, indices, values).
+
+    Long documents have many, so neither Spark's driver nor this process holds all of them at once. The file has no name
+    and goes with the object; only this process reads it.
+    """
+
+    def __init__(self, rows: Iterable[tuple[int, bytes, bytes]]):
+        self._file = tempfile.TemporaryFile(prefix="quiver-")  # noqa: SIM115 - lives as long as the object
+        labels, heads, places, at = [], [], [], 0
+        for label, index, value in rows:
+            labels.append(label)
+            heads.append(bytes(index[:256]))
+            places.append((at, len(index)))
+            self._file.write(index)
+            self._file.write(value)
+            at += len(index) + len(value)
+        self._places = places
+
+        def compared(i: int, j: int) -> int:
+            x, y = (labels[i], heads[i]), (labels[j], heads[j])
+            if x == y:
+                x, y = ([part.tobytes() for part in self._read(k)] for k in (i, j))
+            return (x > y) - (x < y)
+
+        order = sorted(range(len(labels)), key=cmp_to_key(compared))
+        self._places = [places[i] for i in order]
+        self.labels = np.array([labels[i] for i in order], np.float64)
+
+    def _read(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, size = self._places[i]
+        self._file.seek(at)
+        raw = self._file.read(2 * size)  # as many bytes of values as of indices
+        return np.frombuffer(raw, np.int32, size // 4), np.frombuffer(raw, np.float32, size // 4, size)
+
+    def __len__(self) -> int:
+        return len(self._places)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self._read(i)
+
+
 def _with_chars(documents: DataFrame, *more: str) -> DataFrame:
     chars = F.col("n_chars").cast("long") if "n_chars" in documents.columns else F.lit(None).cast("long")
     return documents.select(*more, "text", chars.alias("n_chars"))
@@ -200,10 +274,10 @@ def fit_quality(documents: DataFrame, labels: DataFrame, params: FmParams = FmPa
         T.StructType(
             [T.StructField("quality", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in ("at", "value")]
         ),
-    ).collect()
-    rows = sorted((r.quality, bytes(r["at"]), bytes(r["value"])) for r in rows)
-    docs = [(np.frombuffer(x, np.int32), np.frombuffer(v, np.float32)) for _, x, v in rows]
-    return Fm.fit(docs, np.array([q for q, _, _ in rows], np.float64), params)
+    )
+    # one partition after the other: the driver's heap never has all of them
+    docs = Spooled((r.quality, r["at"], r["value"]) for r in rows.toLocalIterator())
+    return Fm.fit(docs, docs.labels, params)
 
 
 def _scores(batch: pa.RecordBatch, model: Fm, params: FmParams) -> np.ndarray:

@@ -165,7 +165,7 @@ class Crf:
         sizes = np.array([len(x) for x, _ in pairs])
         gold = np.array([y for _, y in pairs])
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        features = np.concatenate([x for x, _ in pairs])
+        features = np.concatenate([x for x, _ in pairs]).astype(np.float64)
         owner = np.repeat(np.arange(len(pairs)), sizes)
         weight = np.where(gold == 1, 0.5 / (gold == 1).sum(), 0.5 / (gold == 0).sum()) / sizes
         live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]))]
@@ -230,7 +230,7 @@ def fit_line_labels(documents: DataFrame, labels: DataFrame, params: RuleParams
         T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("lines", T.BinaryType())]),
     ).collect()
     rows = sorted((r.quality, bytes(r.lines)) for r in rows)
-    docs = [np.frombuffer(x, np.int8).reshape(-1, width).astype(np.float64) for _, x in rows]
+    docs = [np.frombuffer(x, np.int8).reshape(-1, width) for _, x in rows]
     return Crf.fit(docs, [1 - q for q, _ in rows], params)
 
 

@@ -142,3 +142,36 @@ def test_classifier_on_awkward_rows(spark):
     assert quality_fm.score_documents(docs.drop("n_chars"), model).count() == docs.count()
     assert quality_fm.keep_documents(docs, model).columns == docs.columns
     assert quality_fm.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_classifier_learns_from_long_documents_one_after_the_other(spark, monkeypatch):
+    """The driver's heap never has the whole sample, and no batch's arrays are larger than PART_VALUES allows."""
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{x}" for x in rng.integers(0, 3000, 2000))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    said = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    params = quality_fm.FmParams(epochs=2, batch=16)
+    whole = quality_fm.fit_quality(docs, said, params)
+
+    def refused(*_):
+        raise AssertionError("all rows at once")
+
+    monkeypatch.setattr(type(docs), "collect", refused)
+    monkeypatch.setattr(quality_fm, "PART_VALUES", 5000)
+    sizes = []
+    monkeypatch.setattr(quality_fm.Fm, "margins", lambda self, index, *a, f=quality_fm.Fm.margins: sizes.append(len(index)) or f(self, index, *a))
+    parts = quality_fm.fit_quality(docs, said, params)
+    assert sizes and max(sizes) <= 5000
+    assert np.allclose(whole.w, parts.w, atol=1e-4) and np.allclose(whole.v, parts.v, atol=1e-4) and abs(whole.bias - parts.bias) < 1e-4
+
+
+def test_spooled_rows_are_in_order():
+    """As sorted() has them, also where the first bytes are equal."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(200):
+        index = np.concatenate([np.arange(70), rng.integers(0, 3, rng.integers(0, 4))]).astype(np.int32)
+        rows.append((int(k % 2), index.tobytes(), rng.integers(0, 2, len(index)).astype(np.float32).tobytes()))
+    spooled = quality_fm.Spooled(iter(rows))
+    assert [(int(y), x.tobytes(), v.tobytes()) for y, (x, v) in zip(spooled.labels, spooled, strict=True)] == sorted(rows)
+    assert len(quality_fm.Spooled(iter([]))) == 0
